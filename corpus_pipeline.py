@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from secspark.llm.common import materialize, read_table
-from secspark.llm.exact_dedup import exact_duplicates
+from secspark.llm.exact_dedup import exact_duplicates, normalised
 from secspark.llm.mixing import mixed_rows
 from secspark.llm.near_dedup import near_duplicates
 from secspark.llm.packing import pack
@@ -32,10 +32,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # one of several rows with the same id and text stays
-    good = exact_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("good_id")).agg(F.count("*").alias("texts"))
-    kept = docs.join(good, docs["doc_id"].eqNullSafe(F.col("good_id")), "inner").drop("good_id", "texts")
-    return kept
+    decided = materialize(exact_duplicates(docs), "decided")
+    key = F.sha2(normalised(F.col("text")), 256)
+
+    def having(rows: DataFrame, good: DataFrame, how: str) -> DataFrame:
+        good = good.select(F.col("doc_id").alias("good_id"), F.col("text_sha256").alias("good_sha")).distinct()
+        return rows.join(good, rows["doc_id"].eqNullSafe(F.col("good_id")) & (rows["sha"] == F.col("good_sha")), how)
+
+    rows = having(docs.withColumn("sha", key), decided.where("kept"), "left_semi")
+    # rows that share even the id with the one that stays
+    twice = decided.where("not kept and doc_id <=> keep_id")
+    if not twice.isEmpty():
+        rows = having(rows, twice, "left_anti").unionByName(having(rows, twice, "left_semi").dropDuplicates(["doc_id", "sha"]))
+    return rows.select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
