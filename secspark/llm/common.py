@@ -41,8 +41,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Connected components of ``edges (a long, b long)``: rows ``(v, label)``, the label being the smallest vertex reachable.
 
-    Each round takes the smallest label among the neighbours and then jumps to the label of that label, so chains
-    shorten geometrically. Labels only fall, so their sum stands still exactly when nothing changed. Every round is
+    Each round takes the smallest of the neighbours' labels and the label of the own label, so chains shorten
+    geometrically. Labels only fall, so their sum stands still exactly when nothing changed. Every round is
     written to the shared folder; nothing but that sum reaches the driver.
     """
     e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
@@ -55,8 +55,7 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
             return labels
         total = now
         near = e.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "v").select("v", F.least("label", "near").alias("label"))
-        step = materialize(step, "step")
-        jump = step.select(F.col("v").alias("label"), F.col("label").alias("next"))
-        labels = materialize(step.join(jump, "label").select("v", F.col("next").alias("label")), "labels")
+        jump = labels.select(F.col("v").alias("label"), F.col("label").alias("next"))
+        step = labels.join(near, "v").join(jump, "label").select("v", F.least("near", "next").alias("label"))
+        labels = materialize(step, "labels")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

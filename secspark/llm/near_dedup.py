@@ -8,12 +8,14 @@ fewer words the whole sequence is its one shingle; without words the set is empt
    small sets have 128 comparable registers too.
 2. Equal sets collapse to one class first, so thousands of copies are one vertex.
 3. 32 bands of 4 registers. A pair at the threshold shares no band with a probability under 1e-7. In each bucket all
-   classes are compared with the smallest one (a star, not all pairs).
+   classes are compared with its most central one (in the most and largest buckets): a star, not all pairs.
 4. A collision-corrected estimate from the registers drops pairs far below the threshold (over six standard
    deviations); the others are confirmed on full sets.
 5. Components of these links. In buckets of three or more classes that still hold several components, all classes
-   outside the largest component are compared with all others, blockwise on registers, and confirmed likewise. Pairs
-   inside one component need no link, so components are those of all pairs.
+   outside the largest component are compared with all others, blockwise. Before that, shingles
+   that occur in one of these classes alone are counted: a pair can't share them, so it must be able to reach the
+   threshold without them. Blocks with candidates left get the full sets and confirm pairs while these are in different
+   components; no pair is written but the links that join two components.
 
 Cases: null text is empty; rows sharing a doc_id are one vertex (each of its sets may link it); a null doc_id takes no
 part (component_id null, kept true); repeated rows and extra columns change nothing; an empty table gives no rows.
@@ -35,7 +37,7 @@ from secspark.llm.textbytes import doc_shingles, mix, text_chunks, word_hashes
 BUCKET_BITS, BUCKETS, MANTISSA_BITS = 7, 128, 10
 BANDS, ROWS = 32, 4
 #: Rows of a bucket compared at once in stage 5.
-BLOCK = 512
+BLOCK = 256
 #: The estimate is not trusted to drop pairs of sets smaller than this.
 SMALL = 32
 _EDGES = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
@@ -131,56 +133,101 @@ def _estimator(share: float):
     return run
 
 
-def _blocks(share: float):
-    """Compares minors with members inside each cell; rows come sorted by cell."""
-
-    def cell(rows):
-        v = np.concatenate([r[0] for r in rows])
-        n, label, minor = (np.concatenate([r[k] for r in rows]) for k in (1, 2, 3))
-        regs = np.concatenate([r[4] for r in rows])
-        low = np.flatnonzero(minor)
-        high = np.flatnonzero(~minor)
-        found = []
-        least = estimate(_limit(share))
-        for q in low:
-            if not len(high):
-                break
-            same = (regs[high] == regs[q]).sum(axis=1)
-            lo, hi = np.minimum(n[high], n[q]), np.maximum(n[high], n[q])
-            ok = (label[high] != label[q]) & (lo >= share * hi - 1e-9) & ((estimate(same) >= least) | (lo < SMALL))
-            found += [(min(v[q], x), max(v[q], x)) for x in v[high[ok]]]
-        return found
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each cell (band, key, i, j); rows come sorted by cell."""
+    key, held = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("band", "key", "i", "j")]
+        change = np.zeros(b.num_rows, bool)
+        change[0] = True
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        at = np.append(np.flatnonzero(change), b.num_rows)
+        for x, y in zip(at[:-1], at[1:], strict=True):
+            k = tuple(c[x] for c in cols)
+            if k != key and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            key = k
+            held.append(b.slice(x, y - x))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class _Cell:
+    """Candidate pairs of one cell: minors against members of other components."""
+
+    def __init__(self, rows: pa.Table, share: float):
+        self.share, self.least = share, estimate(_limit(share))
+        self.band = rows["band"][0].as_py()
+        self.v, self.n, self.shared, self.label, minor = (rows[c].to_numpy() for c in ("v", "n", "shared", "label", "minor"))
+        self.low, self.high = np.flatnonzero(minor), np.flatnonzero(~minor)
+        self.lanes = rows["bands"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, BANDS)
+
+    def of(self, q: int, labels: np.ndarray) -> np.ndarray:
+        """Members that minor ``q`` may be linked with, the likeliest first; each pair only in its first common band."""
+        high, share = self.high, self.share
+        # what a pair can share at most, and whether that is enough
+        most = np.minimum(self.shared[high], self.shared[q])
+        may = high[(labels[high] != labels[q]) & (most >= share * (self.n[high] + self.n[q] - most) - 1e-9)]
+        if not len(may):
+            return may
+        common = self.lanes[may] == self.lanes[q]
+        may = may[common.argmax(axis=1) == self.band]
+        same = (self.lanes[may].view(np.uint16) == self.lanes[q].view(np.uint16)).sum(axis=1)
+        ok = (estimate(same) >= self.least) | (np.minimum(self.n[may], self.n[q]) < SMALL)
+        return may[ok][np.argsort(-same[ok], kind="stable")]
+
+
+def _candidates(share: float):
+    """Keeps the rows of cells that have a candidate pair."""
 
     def run(batches):
-        key, rows = None, []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("band", "key", "i", "j")]
-            change = np.zeros(b.num_rows, bool)
-            change[0] = True
-            for c in cols:
-                change[1:] |= c[1:] != c[:-1]
-            at = np.append(np.flatnonzero(change), b.num_rows)
-            parts = [b.column(c).to_numpy(zero_copy_only=False) for c in ("v", "n", "label", "minor")] + [_lanes(b.column("bands"))]
-            for x, y in zip(at[:-1], at[1:], strict=True):
-                k = tuple(c[x] for c in cols)
-                if k != key and rows:
-                    if found := cell(rows):
-                        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
-                    rows = []
-                key = k
-                rows.append([p[x:y] for p in parts])
-        if rows and (found := cell(rows)):
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
+        for rows in _cells(batches):
+            c = _Cell(rows, share)
+            hit = np.zeros(len(c.v), bool)
+            for q in c.low:
+                found = c.of(q, c.label)
+                hit[found] = True
+                hit[q] |= bool(len(found))
+            if hit.any():
+                yield from rows.filter(pa.array(hit)).combine_chunks().to_batches()
 
     return run
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, k: int, per_cent: int) -> DataFrame:
+def _joiner(share: float, per_cent: int):
+    """Confirms candidate pairs on full sets until the cell's components are final; yields the links that join two."""
+
+    def run(batches):
+        for rows in _cells(batches):
+            c = _Cell(rows, share)
+            sets = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in rows["s"].combine_chunks()]
+            labels, found = c.label.copy(), []
+            for q in c.low:
+                for x in c.of(q, labels):
+                    if labels[x] != labels[q]:
+                        both = len(np.intersect1d(sets[q], sets[x], assume_unique=True))
+                        if both and 100 * both >= per_cent * (len(sets[q]) + len(sets[x]) - both):
+                            found.append((c.v[q], c.v[x]))
+                            labels[labels == labels[x]] = labels[q]
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _sets(docs: DataFrame, need: DataFrame, k: int) -> DataFrame:
+    """``(v, s)``: the sorted sets of the documents in ``need (v)``."""
+    need = materialize(need.distinct(), "need")
+    return materialize(docs.join(sized_broadcast(need), docs["doc_id"] == need["v"], "left_semi").mapInArrow(_setter(k), "v long, s array<long>"), "sets")
+
+
+def _confirm(sets: DataFrame, pairs: DataFrame, per_cent: int) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
-    need = materialize(pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct(), "need")
-    sets = materialize(docs.join(sized_broadcast(need), docs["doc_id"] == need["v"], "left_semi").mapInArrow(_setter(k), "v long, s array<long>"), "sets")
     a = sets.select(F.col("v").alias("a"), F.col("s").alias("sa"))
     b = sets.select(F.col("v").alias("b"), F.col("s").alias("sb"))
     inter = F.size(F.array_intersect("sa", "sb"))
@@ -196,8 +243,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, id_col: str
     real = sigs.where("cls is not null and doc_id is not null")
     cls = materialize(real.groupBy("cls").agg(F.min("doc_id").alias("v"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     banded = cls.select("v", "n", F.posexplode("bands").alias("band", "key"))
-    hubs = banded.groupBy("band", "key").agg(F.min("v").alias("hub"), F.count("*").alias("m")).where("m > 1")
-    multi = materialize(banded.join(hubs, ["band", "key"]).select("band", "key", "v", "n", "hub", "m"), "buckets")
+    full = banded.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1")
+    multi = materialize(banded.join(full, ["band", "key"]).select("band", "key", "v", "n", "m"), "buckets")
+    central = multi.groupBy("v").agg(F.sum("m").alias("weight"))
+    hubs = multi.join(central, "v").groupBy("band", "key").agg(F.max_by("v", F.struct("weight", -F.col("v"))).alias("hub"))
     regs = cls.select("v", "n", "bands")
 
     def sides(pairs: DataFrame) -> DataFrame:
@@ -205,15 +254,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, id_col: str
         b = regs.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("bands").alias("rb"))
         return pairs.join(a, "a").join(b, "b")
 
-    star = multi.where("hub <> v").select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct()
+    star = multi.join(hubs, ["band", "key"]).where("hub <> v").select(F.least("hub", "v").alias("a"), F.greatest("hub", "v").alias("b")).distinct()
     first = materialize(sides(star).mapInArrow(_estimator(share), "a long, b long").distinct(), "candidates")
-    links = materialize(_confirm(docs, first, k, per_cent), "links")
+    ends = lambda p: p.select(F.col("a").alias("v")).union(p.select(F.col("b").alias("v")))
+    links = materialize(_confirm(_sets(docs, ends(first), k), first, per_cent), "links")
 
     members = materialize(real.join(cls.select("cls", "v"), "cls").select("doc_id", "v"), "members")
     bridge = members.groupBy("doc_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi")
     bridges = members.join(bridge, "doc_id").select(F.col("lo").alias("a"), F.col("v").alias("b"))
     # a doc_id with several texts may not be its own class's smallest id: tie its vertices together
-    links = materialize(links.unionByName(bridges.where("a <> b").distinct()), "links")
+    links = links.unionByName(bridges.where("a <> b").distinct())
     labels = components(links)
 
     rest = multi.where("m > 2").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
@@ -225,15 +275,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, id_col: str
         inside = rest.join(mixed, ["band", "key"]).withColumn("minor", F.col("label") != F.col("major"))
         spread = lambda n, salt: F.pmod(F.xxhash64("v", F.lit(salt)), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+        sets = _sets(docs, inside.select("v"), k)
+        sized = sets.select("v", F.size("s").cast("long").alias("n"), "s")
+        lone = sized.select(F.struct("v", "n").alias("of"), F.explode("s").alias("h")).groupBy("h").agg(F.min("of").alias("of"), F.count("*").alias("c")).where("c = 1")
+        # where a doc_id has two sets of one size, they aren't told apart: nothing is ruled out
+        twice = sized.groupBy("v", "n").agg(F.count("*").alias("c")).where("c > 1")
+        lone = materialize(lone.groupBy("of.v", "of.n").agg(F.count("*").alias("lone")).join(twice, ["v", "n"], "left_anti"), "lone")
         keep = ["band", "key", "v", "n", "label"]
         high = inside.select(*keep, F.lit(False).alias("minor"), every("ni").alias("i"), spread("nj", 1).alias("j"))
         low = inside.where("minor").select(*keep, F.lit(True).alias("minor"), every("nj").alias("j"), spread("ni", 2).alias("i"))
-        cells = high.unionByName(low).join(regs.select("v", "n", "bands"), ["v", "n"]).repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
-        more = cells.mapInArrow(_blocks(share), "a long, b long").where("a <> b").distinct().join(first, ["a", "b"], "left_anti")
-        more = materialize(more, "candidates")
-        if not more.isEmpty():
-            found = _confirm(docs, more, k, per_cent)
-            labels = components(materialize(links.unionByName(found), "links"))
+        facts = regs.join(lone, ["v", "n"], "left").select("v", "n", "bands", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("shared"))
+        by = ["band", "key", "i", "j"]
+        cells = high.unionByName(low).join(facts, ["v", "n"]).repartition(*by).sortWithinPartitions(*by)
+        cells = materialize(cells.mapInArrow(_candidates(share), cells.schema), "candidates")
+        if not cells.isEmpty():
+            cells = cells.join(sized.select("v", "n", "s"), ["v", "n"]).repartition(*by).sortWithinPartitions(*by)
+            labels = components(links.unionByName(cells.mapInArrow(_joiner(share, per_cent), "a long, b long")))
 
     top = members.groupBy("doc_id").agg(F.min("v").alias("v")).join(labels, "v", "left").select("doc_id", F.coalesce("label", "v").alias("component_id"))
     out = sigs.select("doc_id", F.col("n").alias("n_shingles")).join(top, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
