@@ -32,8 +32,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     side = sized_broadcast(groups)
     hashed = norm.withColumn("h", hasher(F.col("norm")))
     members = materialize(hashed.join(side, "h").select("h", "doc_id", "norm", "keep_id", "group_size"), "members")
-    keepers = members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("h").agg(F.min("norm").alias("first"))
-    bad = materialize(members.join(keepers, "h").where("norm <> first").select("h").distinct(), "collisions")
+    # written, so that the join below is between two plain tables and a hot group's rows can be split
+    keepers = materialize(members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("h").agg(F.min("norm").alias("first")), "keepers")
+    bad = materialize(members.join(keepers, "h").where("norm <> first").select("h"), "collisions").distinct()
     split = members.join(F.broadcast(bad) if bad.isEmpty() else bad, "h", "left_semi")
     exact = split.groupBy("h", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     split = split.select("h", "norm", "doc_id").join(exact, ["h", "norm"])
