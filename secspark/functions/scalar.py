@@ -35,9 +35,9 @@ def format_bytes(n: Column) -> Column:
     exp = exp.otherwise(len(units) - 1)
     size = n.cast("double") / F.pow(F.lit(1024.0), exp)
     unit = F.element_at(F.array(*[F.lit(u) for u in units]), exp + 1)
-    text = F.when(size >= 100, F.format_string("%.0f", size)).when(size >= 10, F.format_string("%.1f", size)).otherwise(F.format_string("%.2f", size))
-    # whole bytes are shown as such
-    text = F.when(exp == 0, n.cast("string")).otherwise(text)
+    # ties go to the even digit
+    show = lambda d: F.format_string(f"%.{d}f", F.bround(size, d))
+    text = F.when(n == 0, F.lit("0")).when(size >= 100, show(0)).when(size >= 10, show(1)).otherwise(show(2))
     return F.concat(text, F.lit(" "), unit)
 
 
@@ -47,7 +47,7 @@ def clamp(x: Column, lo, hi) -> Column:
 
 def next_power_of_two(n: Column) -> Column:
     """The least power of two not below ``n``; 1 for 0."""
-    return F.when(n <= 1, F.lit(1).cast("long")).otherwise(F.shiftleft(F.lit(1).cast("long"), F.length(F.bin(n - 1))))
+    return F.when(n <= 1, F.lit(1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(n - 1))))
 
 
 def is_power_of_two(n: Column) -> Column:

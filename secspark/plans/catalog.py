@@ -1,4 +1,745 @@
 """Named queries over the driver tables and their DuckDB equivalents."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from secspark.functions import scalar as S
+from secspark.functions import vectors as V
+from secspark.operators import ann, chain, correlate, partition, search, store
+from secspark.operators import query as Q
+from secspark.sources import ingest, schema
+from secspark.streaming import stream
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def keep(f):
+        n = name or f.__name__
+        QUERIES[n] = f
+        if sql:
+            ORACLE_SQL[n] = sql
+        return f
+
+    return keep
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir() + "/secspark-scratch"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+# scans and lookups ---------------------------------------------------------------------------------------------------
+
+_EV = "SELECT event_id AS id, (epoch_us(ts) // 1000) AS ts_ms, event_type, user_id AS host"
+
+
+@query(_EV + ", props AS meta FROM events")
+def scan_logs(spark, sf):
+    return schema.events(spark, sf).select("id", "ts_ms", "event_type", "host", "meta")
+
+
+@query("SELECT item_id AS id, sha256(text) AS hash, CAST(strlen(text) AS BIGINT) AS bytes FROM benchmark")
+def scan_code(spark, sf):
+    return schema.text_artifacts(spark, sf).select("id", "hash", F.octet_length(F.col("strings")[0]).cast("long").alias("bytes"))
+
+
+def _tagged(spark, sf):
+    e, b = schema.events(spark, sf), schema.table(spark, sf, "benchmark")
+    logs = e.select(F.lit("log").alias("kind"), "id", F.col("meta").alias("payload"), "ts_ms")
+    return logs.unionByName(b.select(F.lit("code").alias("kind"), F.col("item_id").alias("id"), F.col("text").alias("payload"), F.lit(None).cast("long").alias("ts_ms")))
+
+
+@query("SELECT 'code' AS kind, item_id AS id, text AS payload FROM benchmark")
+def scan_by_kind(spark, sf):
+    return _tagged(spark, sf).where("kind = 'code'").select("kind", "id", "payload")
+
+
+@query(_EV + ", props AS meta FROM events WHERE event_id = 42")
+def point_lookup(spark, sf):
+    return schema.events(spark, sf).where("id = 42").select("id", "ts_ms", "event_type", "host", "meta")
+
+
+@query("SELECT vec_id AS id, i AS pos, round(CAST(embedding[i + 1] AS DOUBLE), 6) AS x FROM embeddings, range(0, 64) t(i) WHERE vec_id = 42")
+def vector_get(spark, sf):
+    v = schema.vectors(spark, sf).where("id = 42")
+    return v.select("id", F.posexplode("vec").alias("pos", "x")).select("id", F.col("pos").cast("long").alias("pos"), F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
+@query("SELECT vec_id AS id, CAST(len(embedding) AS BIGINT) AS dim, label FROM embeddings")
+def vector_scan(spark, sf):
+    return schema.vectors(spark, sf).select("id", F.size("vec").cast("long").alias("dim"), "label")
+
+
+_START, _END = 1705329000, 1705415400
+
+
+@query(_EV + f" FROM events WHERE (epoch_us(ts) // 1000) BETWEEN {_START}000 AND {_END}000 ORDER BY ts_ms, id")
+def time_range_scan(spark, sf):
+    e = schema.events(spark, sf).where(Q.TimeRange(_START * 1000, _END * 1000).column(F.col("ts")))
+    return e.orderBy("ts_ms", "id").select("id", "ts_ms", "event_type", "host")
+
+
+# partitions and retention ----------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id AS id, strftime(ts, '%Y-%m-%d') AS date, CAST(hour(ts) AS INTEGER) AS hourly, CAST(hour(ts) // 6 AS INTEGER) AS six_hour, 0 AS daily FROM events")
+def partition_assign(spark, sf):
+    e = schema.events(spark, sf)
+    return e.select("id", F.date_format("ts", "yyyy-MM-dd").alias("date"), *[partition.window_index(F.col("ts"), w).alias(w) for w in partition.HOURS])
+
+
+_PARTS = "SELECT DISTINCT CAST(ts AS DATE) AS d, CAST(hour(ts) // 6 AS INTEGER) AS win FROM events"
+
+
+@query(f"SELECT strftime(d, '%Y-%m-%d') AS dir, lpad(CAST(win * 6 AS VARCHAR), 2, '0') AS prefix, CAST(epoch(d) AS BIGINT) + win * 21600 AS start_s, CAST(epoch(d) AS BIGINT) + win * 21600 + 21600 AS end_s FROM ({_PARTS})")
+def partition_bounds(spark, sf):
+    p = partition.assign(schema.events(spark, sf), "six_hour").select("date", "win").distinct()
+    return partition.bounds(p, "six_hour").select("dir", "prefix", F.col("start_s").cast("long").alias("start_s"), F.col("end_s").cast("long").alias("end_s"))
+
+
+@query(f"SELECT strftime(to_timestamp({_START // 21600} * 21600 + i * 21600) AT TIME ZONE 'UTC', '%Y-%m-%d') AS date, CAST(hour(to_timestamp({_START // 21600} * 21600 + i * 21600) AT TIME ZONE 'UTC') // 6 AS INTEGER) AS win FROM range(0, {_END // 21600 - _START // 21600 + 1}) t(i)")
+def partitions_for_range(spark, sf):
+    return partition.for_range(spark, _START, _END, "six_hour").select(F.date_format("date", "yyyy-MM-dd").alias("date"), "win")
+
+
+@query("SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS date, CAST(hour(ts) AS INTEGER) AS win FROM events")
+def list_partitions(spark, sf):
+    return partition.assign(schema.events(spark, sf), "hourly").select(F.date_format("date", "yyyy-MM-dd").alias("date"), "win").distinct()
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS date, CAST(hour(ts) // 6 AS INTEGER) AS win, count(*) AS n, min(event_id) AS min_id, max(event_id) AS max_id FROM events GROUP BY 1, 2")
+def partition_stats(spark, sf):
+    p = partition.stats(partition.assign(schema.events(spark, sf), "six_hour"))
+    return p.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
+@query("SELECT epoch_ms(time_bucket(INTERVAL '6 hours', ts)) AS start_ms, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def window_counts(spark, sf):
+    e = schema.events(spark, sf).groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return e.withColumn("ts", F.col("w.start")).select(schema.epoch_ms("ts").alias("start_ms"), "event_type", "n")
+
+
+_NOW, _KEEP = 1706659200, 7 * 86400
+_CUT = (_NOW - _KEEP) // 3600 * 3600
+_GONE = f"(SELECT count(*) FROM (SELECT DISTINCT CAST(ts AS DATE), hour(ts) FROM events)) > 24 AND epoch(date_trunc('hour', ts)) < {_CUT}"
+
+
+@query(f"SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS date, CAST(hour(ts) AS INTEGER) AS win FROM events WHERE {_GONE}")
+def retention_candidates(spark, sf):
+    p = partition.assign(schema.events(spark, sf), "hourly")
+    return partition.retention_candidates(p, _NOW, _KEEP, "hourly").withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
+@query(f"SELECT event_id AS id FROM events WHERE NOT ({_GONE})")
+def retention_enforce(spark, sf):
+    p = partition.assign(schema.events(spark, sf), "hourly")
+    return partition.enforce_retention(p, partition.retention_candidates(p, _NOW, _KEEP, "hourly")).select("id")
+
+
+# metadata ---------------------------------------------------------------------------------------------------------------
+
+_K = "json_extract_string(props, '$.k')"
+
+
+def _meta(name: str, op: str, value, sql: str) -> None:
+    def run(spark, sf):
+        return schema.events(spark, sf).where(Q.MetadataFilter("k", op, value).column(F.col("meta"))).select("id", "meta")
+
+    query(f"SELECT event_id AS id, props AS meta FROM events WHERE {sql}", name)(run)
+
+
+_meta("meta_eq", "Equals", 42, f"{_K} = '42'")
+_meta("meta_ne", "NotEquals", 42, f"{_K} <> '42'")
+_meta("meta_gt", "GreaterThan", 90, f"CAST({_K} AS DOUBLE) > 90")
+_meta("meta_lt", "LessThan", 5, f"CAST({_K} AS DOUBLE) < 5")
+_meta("meta_in", "In", [1, 2, 3], f"{_K} IN ('1', '2', '3')")
+_meta("meta_not_in", "NotIn", [1, 2, 3], f"{_K} NOT IN ('1', '2', '3')")
+_meta("meta_contains", "Contains", "9", f"contains({_K}, '9')")
+_meta("meta_prefix", "StartsWith", "9", f"starts_with({_K}, '9')")
+_meta("meta_suffix", "EndsWith", "9", f"ends_with({_K}, '9')")
+
+
+@query(f"SELECT {_K} AS value, string_agg(event_id, ',' ORDER BY event_id) AS ids FROM events WHERE {_K} = '7' GROUP BY 1")
+def meta_index_search(spark, sf):
+    return Q.inverted_index(schema.events(spark, sf), "k").where("value = '7'").select("value", F.array_join("ids", ",").alias("ids"))
+
+
+@query(f"SELECT {_K} AS value, count(*) AS n FROM events WHERE CAST({_K} AS DOUBLE) BETWEEN 10 AND 20 GROUP BY 1")
+def meta_index_range(spark, sf):
+    return Q.inverted_index(schema.events(spark, sf), "k").where("try_cast(value as double) between 10 and 20").select("value", F.size("ids").cast("long").alias("n"))
+
+
+@query(f"SELECT count(DISTINCT {_K}) AS n FROM events")
+def meta_cardinality(spark, sf):
+    return schema.events(spark, sf).agg(F.count_distinct(F.get_json_object("meta", "$.k")).alias("n"))
+
+
+@query(f"SELECT event_id AS id, {_K} AS k, event_type AS source FROM events")
+def meta_add_field(spark, sf):
+    e = schema.events(spark, sf)
+    m = F.from_json("meta", "map<string,string>")
+    m = F.to_json(F.map_concat(F.map_filter(m, lambda k, _: k != "source"), F.create_map(F.lit("source"), F.col("event_type"))))
+    return e.select("id", m.alias("m")).select("id", F.get_json_object("m", "$.k").alias("k"), F.get_json_object("m", "$.source").alias("source"))
+
+
+# vectors ----------------------------------------------------------------------------------------------------------------
+
+_Q0 = "(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
+_DOT = "list_inner_product(embedding::DOUBLE[], q)"
+_COS = f"{_DOT} / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) / sqrt(list_inner_product(q, q))"
+_L2 = "list_sum(list_transform(list_zip(embedding::DOUBLE[], q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+
+def _sq(x):
+    return f"list_transform({x}, lambda x: CAST(round(greatest(-1.0, least(1.0, x)) * 127) AS BIGINT))"
+
+
+_SQ = f"list_sum(list_transform(list_zip({_sq('embedding::DOUBLE[]')}, {_sq('q')}), lambda z: z[1] * z[2]))"
+
+
+def _top(score: str, order: str, k: int, name: str = "score") -> str:
+    return f"SELECT vec_id AS id, round({score}, 6) AS {name} FROM embeddings, {_Q0} ORDER BY {score} {order}, vec_id LIMIT {k}"
+
+
+@query(_top(_COS, "DESC", 10))
+def find_similar(spark, sf):
+    v = schema.vectors(spark, sf)
+    return search.find_similar(v, ann.literal_query(v, 0), 10).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT vec_id AS id, round({_COS}, 6) AS score FROM embeddings, {_Q0} WHERE {_COS} >= 0.3 ORDER BY {_COS} DESC, vec_id LIMIT 20")
+def similar_threshold(spark, sf):
+    v = schema.vectors(spark, sf)
+    return search.find_similar(v, ann.literal_query(v, 0), 20, 0.3).select("id", F.round("score", 6).alias("score"))
+
+
+def _knn(metric: str, expr: str) -> None:
+    def run(spark, sf):
+        v = schema.vectors(spark, sf)
+        return search.knn(v, ann.literal_query(v, 0), 10, metric).select("id", F.round(F.col("distance").cast("double"), 6).alias("distance"))
+
+    query(_top(expr, "ASC", 10, "distance"), f"knn_{metric}")(run)
+
+
+_knn("cosine", f"(1 - {_COS})")
+_knn("l2", _L2)
+_knn("dot", f"(-{_DOT})")
+_knn("sq8", f"CAST(-{_SQ} AS DOUBLE)")
+
+_PAIR = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
+
+
+@query(f"""SELECT query, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC, id) AS rank FROM
+ (SELECT a.vec_id AS query, b.vec_id AS id, round({_PAIR}, 6) AS score, {_PAIR} AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0)) WHERE rank <= 10""")
+def knn_batch(spark, sf):
+    v = schema.vectors(spark, sf)
+    r = search.knn_batch(v.where("id % 20 = 0"), v, 10)
+    return r.select("query", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT 0 AS k, CAST(0 AS BIGINT) AS n UNION ALL SELECT 1000000, count(*) FROM embeddings")
+def topk_edges(spark, sf):
+    v = schema.vectors(spark, sf)
+    q = ann.literal_query(v, 0)
+    n = lambda k: search.find_similar(v, q, k).agg(F.count("*").alias("n")).select(F.lit(k).alias("k"), "n")
+    return n(0).unionByName(n(1000000))
+
+
+def _fn(name: str, column, sql: str) -> None:
+    def run(spark, sf):
+        v = schema.vectors(spark, sf)
+        return v.select("id", column(F.col("vec"), ann.literal_query(v, 0)).alias("x"))
+
+    query(f"SELECT vec_id AS id, {sql} AS x FROM embeddings, {_Q0}", name)(run)
+
+
+_fn("fn_dot", lambda a, q: F.round(V.dot(a, q), 6), f"round({_DOT}, 6)")
+_fn("fn_l2", lambda a, q: F.round(V.l2(a, q), 6), f"round(sqrt({_L2}), 6)")
+_fn("fn_cosine", lambda a, q: F.round(V.cosine(a, q), 6), f"round({_COS}, 6)")
+_fn("fn_normalize", lambda a, q: F.round(V.norm(V.normalized(F.transform(a, lambda x: x * 3))), 6), "CAST(1.0 AS DOUBLE)")
+_fn("fn_sq8", lambda a, q: F.array_join(F.transform(V.quantize_sq8(a), lambda x: x.cast("string")), ","), f"array_to_string({_sq('embedding::DOUBLE[]')}, ',')")
+_fn("fn_sq8_roundtrip", lambda a, q: F.exists(F.zip_with(V.dequantize_sq8(V.quantize_sq8(a)), a, lambda x, y: F.abs(x - y.cast("double"))), lambda d: d > 0.5 / 127 + 1e-9), "false")
+
+
+@query("SELECT label, i - 1 AS pos, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS mean FROM embeddings, range(1, 65) t(i) GROUP BY 1, 2")
+def centroid(spark, sf):
+    c = search.centroid(schema.vectors(spark, sf), "label")
+    return c.select("label", F.col("pos").cast("long").alias("pos"), F.round("mean", 6).alias("mean"))
+
+
+@query("""WITH m AS (SELECT label, list(mean ORDER BY i) AS q FROM (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS mean FROM embeddings, range(1, 65) t(i) GROUP BY 1, 2) GROUP BY 1),
+ d AS (SELECT e.label, vec_id, list_sum(list_transform(list_zip(embedding::DOUBLE[], q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM embeddings e JOIN m USING (label))
+ SELECT label, arg_min(vec_id, (round(d, 9), vec_id)) AS id FROM d GROUP BY 1""")
+def medoid(spark, sf):
+    return search.medoid(schema.vectors(spark, sf), "label")
+
+
+@query("SELECT vec_id AS id FROM embeddings WHERE vec_id NOT IN (SELECT event_id FROM events WHERE event_type = 'error')")
+def vector_delete(spark, sf):
+    return search.delete_vectors(schema.vectors(spark, sf), schema.events(spark, sf).where("event_type = 'error'")).select("id")
+
+
+@query("SELECT vec_id AS id FROM embeddings WHERE vec_id IN (SELECT event_id FROM events WHERE event_type = 'error')")
+def vector_live_filter(spark, sf):
+    return search.live_vectors(schema.vectors(spark, sf), schema.events(spark, sf).where("event_type = 'error'")).select("id")
+
+
+@query()
+def ann_build(spark, sf):
+    v = schema.vectors(spark, sf)
+    return ann.fit(v).assign(v).select("id", "cell")
+
+
+@query()
+def ann_search(spark, sf):
+    v = schema.vectors(spark, sf)
+    m = ann.fit(v)
+    return ann.ann_search(m, m.assign(v), ann.query_vector(v, 0), 10)
+
+
+@query()
+def ann_incremental(spark, sf):
+    v = schema.vectors(spark, sf)
+    m = ann.fit(v.where("id % 2 = 0"))
+    return ann.add(m, m.assign(v.where("id % 2 = 0")), v.where("id % 2 = 1")).select("id", "cell")
+
+
+@query()
+def ann_model_roundtrip(spark, sf):
+    v = schema.vectors(spark, sf)
+    path = _scratch(spark, "ann")
+    ann.fit(v).save(spark, path)
+    m = ann.CellModel.load(spark, path)
+    return ann.ann_search(m, m.assign(v), ann.query_vector(v, 0), 10)
+
+
+@query()
+def hybrid_search(spark, sf):
+    v = schema.vectors(spark, sf)
+    return ann.hybrid_search(v, ann.query_vector(v, 0), 10)
+
+
+@query("SELECT true AS reached")
+def ann_recall(spark, sf):
+    """Recall@10 of the nearest 8 of 16 cells against exact search, over every 20th vector."""
+    v = schema.vectors(spark, sf)
+    model = ann.fit(v)
+    queries = v.where("id % 20 = 0").select("id", "vec")
+    exact = search.knn_batch(queries, v, 10).select("query", "id")
+    near = F.array_sort(F.array(*[F.struct(V.l2_squared(V.normalized(F.col("vec")), V.literal(c)).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(model.centers)]))
+    probes = queries.select(F.col("id").alias("query"), F.col("vec").alias("q"), F.explode(F.slice(near, 1, 8)).alias("p")).select("query", "q", F.col("p.i").alias("cell"))
+    found = probes.join(model.assign(v), "cell").select("query", "id", V.cosine(F.col("vec"), F.col("q")).alias("score"))
+    found = Q.ranked(found, ["query"], [F.desc(F.round("score", 9)), "id"], 10)
+    hits = exact.join(found.select("query", "id", F.lit(1).alias("hit")), ["query", "id"], "left")
+    return hits.agg((F.count("hit") / F.count("*") >= 0.7).alias("reached"))
+
+
+# the query object -------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH m AS (SELECT event_id AS id, event_type, round({_COS}, 6) AS score, {_COS} AS s FROM events JOIN embeddings ON vec_id = event_id, {_Q0}
+ WHERE CAST({_K} AS DOUBLE) > 20 AND (epoch_us(ts) // 1000) BETWEEN 1704067200000 AND 1706659200000 AND {_COS} >= -0.5)
+ SELECT id, event_type, score, (SELECT count(*) FROM m) AS total_matches FROM m ORDER BY s DESC, id LIMIT 10 OFFSET 5""")
+def query_request(spark, sf):
+    v = schema.vectors(spark, sf)
+    logs = schema.events(spark, sf).join(v.select("id", "vec"), "id")
+    r = Q.QueryRequest(Q.VectorQuery(ann.query_vector(v, 0), -0.5), [Q.MetadataFilter("k", "GreaterThan", 20)], Q.TimeRange(1704067200000, 1706659200000), 10, 5)
+    return r.run(logs).select("id", "event_type", F.round("score", 6).alias("score"), "total_matches")
+
+
+# correlation ------------------------------------------------------------------------------------------------------------
+
+_T = 0.35
+_CV = f"SELECT a.vec_id AS source_id, b.vec_id - 100 AS target_id, {_PAIR} AS score FROM embeddings a JOIN embeddings b ON {_PAIR} >= {_T}"
+_CVD = f"{_CV} WHERE a.vec_id IN (SELECT doc_id FROM documents) AND b.vec_id - 100 IN (SELECT item_id FROM benchmark)"
+_CH = "SELECT d.doc_id AS source_id, b.item_id AS target_id FROM documents d JOIN benchmark b ON contains(d.text, substr(sha256(b.text), 1, 16))"
+_CF = "SELECT doc_id AS source_id, item_id AS target_id FROM documents d JOIN benchmark b ON strlen(b.text) >= 5 AND contains(d.text, b.text)"
+_ALL = f"""c AS (SELECT source_id, target_id, 'VectorSimilarity' AS kind, score, 0 AS r FROM ({_CVD})
+ UNION ALL SELECT source_id, target_id, 'HashMatch', 1.0, 1 FROM ({_CH}) UNION ALL SELECT source_id, target_id, 'FilenameMatch', 0.9, 2 FROM ({_CF})),
+ u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, target_id ORDER BY score DESC, r) AS n FROM c) WHERE n = 1)"""
+
+
+def _both(spark, sf):
+    return schema.text_logs(spark, sf, True), schema.text_artifacts(spark, sf, True)
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select("source_id", "target_id", "kind", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_PAIR}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND {_PAIR} >= {_T}")
+def correlate_vector(spark, sf):
+    v = schema.vectors(spark, sf)
+    return search.similar_pairs(v, v, _T).where("a < b").select("a", "b", F.round("score", 6).alias("score"))
+
+
+@query("SELECT e.event_id AS source_id, u.user_id AS target_id, 'HashMatch' AS kind, CAST(1 AS DOUBLE) AS score FROM events e JOIN (SELECT DISTINCT user_id FROM events) u ON contains('{\"hash\":\"' || sha256(CAST(e.user_id AS VARCHAR)) || '\"}', substr(sha256(CAST(u.user_id AS VARCHAR)), 1, 16))")
+def correlate_hash(spark, sf):
+    return correlate.by_hash(schema.hash_logs(spark, sf), schema.user_artifacts(spark, sf))
+
+
+@query(f"SELECT source_id, target_id, 'FilenameMatch' AS kind, CAST(0.9 AS DOUBLE) AS score FROM ({_CF})")
+def correlate_filename(spark, sf):
+    return correlate.by_filename(schema.text_logs(spark, sf), schema.text_artifacts(spark, sf))
+
+
+@query(f"WITH {_ALL} SELECT source_id, target_id, kind, round(CAST(score AS DOUBLE), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, target_id) AS rn FROM u) WHERE rn <= 100")
+def correlate_all(spark, sf):
+    return _shown(correlate.correlate_all(*_both(spark, sf), threshold=_T))
+
+
+@query(f"WITH {_ALL} SELECT source_id, target_id, kind, round(CAST(score AS DOUBLE), 6) AS score FROM u")
+def correlate_dedup(spark, sf):
+    logs, art = _both(spark, sf)
+    rows = correlate.by_vector(logs, art, _T).unionByName(correlate.by_hash(logs, art)).unionByName(correlate.by_filename(logs, art))
+    return _shown(correlate.dedup(rows))
+
+
+@query(f"WITH {_ALL} SELECT source_id, target_id, kind, round(CAST(score AS DOUBLE), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, target_id) AS rn FROM u) WHERE rn <= 1")
+def correlate_limit(spark, sf):
+    return _shown(correlate.correlate_all(*_both(spark, sf), threshold=_T, n=1))
+
+
+@query(f"WITH {_ALL} SELECT source_id, target_id, kind, round(CAST(score AS DOUBLE), 6) AS score FROM u WHERE source_id = (SELECT min(source_id) FROM ({_CF}))")
+def correlate_log(spark, sf):
+    logs, art = _both(spark, sf)
+    one = correlate.by_filename(logs, art).agg(F.min("source_id").alias("id"))
+    return _shown(correlate.correlate_all(logs.join(F.broadcast(one), "id", "left_semi"), art, threshold=_T))
+
+
+@query(f"WITH {_ALL} SELECT target_id AS source_id, source_id AS target_id, kind, round(CAST(score AS DOUBLE), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY score DESC, source_id) AS rn FROM u WHERE target_id = 0) WHERE rn <= 100")
+def correlate_code(spark, sf):
+    logs, art = _both(spark, sf)
+    return _shown(correlate.correlate_artifact(art.where("id = 0"), logs, threshold=_T))
+
+
+@query("SELECT DISTINCT event_id AS source_id, c_custkey AS target_id, 'IpMatch' AS kind, CAST(1 AS DOUBLE) AS score FROM events JOIN customer ON user_id = c_custkey")
+def correlate_ip(spark, sf):
+    ip = lambda c: F.concat(F.lit("10.0.0."), F.col(c).cast("string"))
+    logs = schema.events(spark, sf).select("id", ip("host").alias("ip"))
+    return correlate.by_ip(logs, schema.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), ip("c_custkey").alias("ip")))
+
+
+def _file_links(spark, sf):
+    return correlate.by_filename(schema.text_logs(spark, sf), schema.text_artifacts(spark, sf))
+
+
+@query(f"SELECT 'correlation' AS field, CAST(target_id AS VARCHAR) AS value, string_agg(source_id, ',' ORDER BY source_id) AS refs FROM (SELECT DISTINCT source_id, target_id FROM ({_CF})) GROUP BY 2")
+def build_index_entries(spark, sf):
+    return correlate.index_entries(_file_links(spark, sf)).select("field", "value", F.array_join("refs", ",").alias("refs"))
+
+
+@query("SELECT 'type' AS field, event_type AS value, count(DISTINCT user_id) AS n, min(user_id) AS first FROM events GROUP BY 2")
+def create_index(spark, sf):
+    e = schema.events(spark, sf).select(F.lit("type").alias("field"), F.col("event_type").alias("value"), F.array("host", "host").alias("refs"))
+    return correlate.create_index(e).select("field", "value", F.size("refs").cast("long").alias("n"), F.col("refs")[0].alias("first"))
+
+
+@query(f"SELECT item_id AS id, coalesce(refs, '') AS related FROM benchmark LEFT JOIN (SELECT target_id, string_agg(source_id, ',' ORDER BY source_id) AS refs FROM (SELECT DISTINCT source_id, target_id FROM ({_CF})) GROUP BY 1) ON target_id = item_id")
+def link_code_to_logs(spark, sf):
+    art = schema.text_artifacts(spark, sf).withColumn("related_logs", F.expr("cast(array() as array<bigint>)"))
+    links = _file_links(spark, sf).select(F.col("target_id").alias("id"), F.array("source_id", "source_id").alias("refs"))
+    return correlate.link_code_to_logs(art, links)[0].select("id", F.array_join("related_logs", ",").alias("related"))
+
+
+@query(f"SELECT DISTINCT source_id AS id FROM ({_CF}) WHERE target_id = (SELECT min(target_id) FROM ({_CF})) UNION SELECT DISTINCT target_id FROM ({_CF}) WHERE source_id = (SELECT min(target_id) FROM ({_CF}))")
+def find_correlated(spark, sf):
+    rows = _file_links(spark, sf)
+    first = rows.agg(F.min("target_id")).first()[0]
+    return correlate.find_correlated(rows, first)
+
+
+@query(f"SELECT doc_id AS id, n_chars FROM documents WHERE doc_id IN (SELECT source_id FROM ({_CF}) WHERE target_id = (SELECT min(target_id) FROM ({_CF})))")
+def logs_for_hash(spark, sf):
+    art = schema.text_artifacts(spark, sf).withColumn("related_logs", F.expr("cast(array() as array<bigint>)"))
+    rows = _file_links(spark, sf)
+    links = correlate.link_code_to_logs(art, rows.select(F.col("target_id").alias("id"), F.array("source_id").alias("refs")))[1]
+    first = rows.agg(F.min("target_id")).first()[0]
+    h = art.where(F.col("id") == first).select("hash").first()
+    return correlate.logs_for_hash(links, schema.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "n_chars"), h[0] if h else "")
+
+
+# hash chains ------------------------------------------------------------------------------------------------------------
+
+_ROWS = "SELECT user_id AS chain, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS seq, sha256(props) AS data_hash FROM events"
+_CHAIN = f"""WITH RECURSIVE e AS MATERIALIZED ({_ROWS}), n(chain, seq, data_hash, prev_hash, hash) AS (SELECT chain, seq, data_hash, CAST(NULL AS VARCHAR), sha256(data_hash || '|' || seq) FROM e WHERE seq = 0
+ UNION ALL SELECT e.chain, e.seq, e.data_hash, n.hash, sha256(n.hash || '|' || e.data_hash || '|' || e.seq) FROM n JOIN e ON e.chain = n.chain AND e.seq = n.seq + 1)"""
+
+
+def _records(spark, sf):
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("host").orderBy("id")) - 1
+    return schema.events(spark, sf).select(F.col("host").alias("chain"), n.cast("long").alias("seq"), F.col("meta").alias("data"))
+
+
+@query(_CHAIN + " SELECT chain, seq, data_hash, prev_hash, hash FROM n")
+def chain_build(spark, sf):
+    return chain.build(_records(spark, sf))
+
+
+@query(_CHAIN + " SELECT chain, hash FROM n WHERE seq = 5")
+def chain_hash_at(spark, sf):
+    return chain.build(_records(spark, sf)).where("seq = 5").select("chain", "hash")
+
+
+_NONE = "SELECT CAST(0 AS BIGINT) AS chain, CAST(0 AS BIGINT) AS seq, '' AS reason WHERE false"
+
+
+@query(_NONE)
+def chain_verify_linkage(spark, sf):
+    return chain.verify(chain.build(_records(spark, sf)), full=False)
+
+
+@query(_NONE)
+def chain_verify_full(spark, sf):
+    return chain.verify(chain.build(_records(spark, sf)))
+
+
+@query(f"SELECT chain, seq, 'hash' AS reason FROM ({_ROWS}) WHERE seq = 2 AND chain % 10 = 0")
+def chain_verify_tampered(spark, sf):
+    bad = (F.col("seq") == 2) & (F.col("chain") % 10 == 0)
+    return chain.verify(chain.build(_records(spark, sf)).withColumn("data_hash", F.when(bad, F.lit("tampered")).otherwise(F.col("data_hash"))))
+
+
+@query(f"SELECT chain, seq, 'checkpoint' AS reason FROM ({_ROWS}) WHERE seq = 3")
+def chain_verify_from(spark, sf):
+    return chain.verify(chain.build(_records(spark, sf)), from_seq=2, from_hash="not the hash")
+
+
+@query("SELECT event_id AS seq, props AS data FROM events WHERE event_id >= 90")
+def wal_read_from(spark, sf):
+    e = schema.events(spark, sf).select(F.col("id").alias("seq"), F.col("meta").alias("data"))
+    return chain.read_from(e.unionByName(e), 90)
+
+
+@query("SELECT event_id AS seq, props AS data FROM events WHERE event_id > 90")
+def wal_iter_from(spark, sf):
+    return chain.read_from(schema.events(spark, sf).select(F.col("id").alias("seq"), F.col("meta").alias("data")), 90, inclusive=False)
+
+
+# versions, compaction, statistics ---------------------------------------------------------------------------------------
+
+
+def _versions(spark, sf):
+    o = schema.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value"))
+    return o.withColumn("seq", F.lit(1)).unionByName(o.where("id % 3 = 0").select("id", (F.col("value") + 1).alias("value"), F.lit(2).alias("seq")))
+
+
+_VER = "(SELECT o_orderkey AS id, o_totalprice AS value, 1 AS seq FROM orders UNION ALL SELECT o_orderkey, o_totalprice + 1, 2 FROM orders WHERE o_orderkey % 3 = 0)"
+
+
+@query(f"SELECT id, round(arg_max(value, seq), 2) AS value, max(seq) AS seq FROM {_VER} GROUP BY 1")
+def latest_version(spark, sf):
+    return Q.latest(_versions(spark, sf), "id", "seq").select("id", F.round("value", 2).alias("value"), "seq")
+
+
+@query(f"SELECT id, round(arg_min(value, seq), 2) AS value, min(seq) AS seq FROM {_VER} GROUP BY 1")
+def vector_first_wins(spark, sf):
+    return Q.latest(_versions(spark, sf), "id", "seq", first=True).select("id", F.round("value", 2).alias("value"), "seq")
+
+
+@query(f"SELECT count(*) AS read, count(DISTINCT id) AS kept, count(*) - count(DISTINCT id) AS dropped FROM {_VER}")
+def compact_dedup(spark, sf):
+    path = _scratch(spark, "store")
+    s = store.Store(spark, path)
+    s.append("orders", _versions(spark, sf))
+    done = s.compact("orders")
+    return spark.createDataFrame([(done["read"], done["kept"], done["dropped"])], "read long, kept long, dropped long")
+
+
+@query("SELECT 'f' || i AS path, CAST(i % 2 AS INTEGER) AS level FROM range(0, 8) t(i) WHERE i % 2 = 0")
+def compact_pick(spark, sf):
+    files = spark.range(8).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("path"), (F.col("id") % 2).cast("int").alias("level"), F.lit(100).alias("size"), F.col("id").alias("created"))
+    return store.pick_compaction(files)
+
+
+@query("SELECT event_id AS id, event_type FROM events UNION ALL SELECT event_id, event_type FROM events WHERE event_id % 10 = 0")
+def union_hot_cold(spark, sf):
+    e = schema.events(spark, sf).select("id", "event_type")
+    return e.unionByName(e.where("id % 10 = 0"))
+
+
+@query("SELECT kind, count(*) AS n, CAST(sum(strlen(p)) AS BIGINT) AS bytes, min(t) AS oldest, max(t) AS newest FROM (SELECT 'log' AS kind, props AS p, (epoch_us(ts) // 1000) AS t FROM events UNION ALL SELECT 'code', text, NULL FROM benchmark) GROUP BY 1")
+def kind_stats(spark, sf):
+    return store.kind_stats(_tagged(spark, sf))
+
+
+@query("SELECT count(*) AS total, CAST(sum(strlen(p)) AS BIGINT) AS bytes FROM (SELECT props AS p FROM events UNION ALL SELECT text FROM benchmark)")
+def storage_stats(spark, sf):
+    return store.kind_stats(_tagged(spark, sf)).agg(F.sum("n").alias("total"), F.sum("bytes").alias("bytes"))
+
+
+@query("SELECT edge, count(value) AS n FROM (SELECT unnest([1.0, 5.0, 10.0, 25.0, 50.0])::DOUBLE AS edge) LEFT JOIN (SELECT value, CASE WHEN value <= 1 THEN 1 WHEN value <= 5 THEN 5 WHEN value <= 10 THEN 10 WHEN value <= 25 THEN 25 WHEN value <= 50 THEN 50 END AS b FROM events) ON b = edge GROUP BY 1")
+def histogram(spark, sf):
+    return store.histogram(schema.events(spark, sf), "value", [1.0, 5.0, 10.0, 25.0, 50.0])
+
+
+@query("SELECT count(value) AS count, CAST(sum(trunc(value)) AS BIGINT) AS sum, round(sum(trunc(value)) / count(value), 6) AS mean FROM events")
+def histogram_stats(spark, sf):
+    return store.histogram_stats(schema.events(spark, sf), "value").select("count", "sum", F.round("mean", 6).alias("mean"))
+
+
+@query("SELECT count(*) AS events, CAST(sum(strlen(event_type)) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS errors FROM events")
+def metrics_snapshot(spark, sf):
+    return store.metrics_snapshot(schema.events(spark, sf).withColumn("raw", F.col("event_type")))
+
+
+# scalar functions -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id AS id, sha256(coalesce(text, '')) AS hash FROM documents")
+def fn_hash(spark, sf):
+    return schema.text_logs(spark, sf).select("id", S.hash_hex(F.coalesce("raw", F.lit(""))).alias("hash"))
+
+
+@query("SELECT item_id AS id, sha256(text) AS hash, true AS valid FROM benchmark")
+def hash_hex(spark, sf):
+    a = schema.text_artifacts(spark, sf)
+    return a.select("id", F.lower(F.hex(S.parse_hash(F.col("hash")))).alias("hash"), S.parse_hash(F.col("hash")).isNotNull().alias("valid"))
+
+
+@query()
+def fn_crc32(spark, sf):
+    return schema.text_logs(spark, sf).select("id", F.crc32(F.col("raw").cast("binary")).alias("crc"))
+
+
+@query("SELECT event_id AS id, least(greatest(event_id, 10), 20) AS clamped, CASE WHEN event_id <= 1 THEN 1 ELSE CAST(pow(2, length(bin(event_id - 1))) AS BIGINT) END AS power, event_id > 0 AND bit_count(event_id) = 1 AS is_power, (event_id + 15) // 16 * 16 AS aligned FROM events")
+def fn_math(spark, sf):
+    n = F.col("id")
+    return schema.events(spark, sf).select("id", S.clamp(n, 10, 20).cast("long").alias("clamped"), S.next_power_of_two(n).alias("power"), S.is_power_of_two(n).alias("is_power"), S.align_to(n, 16).cast("long").alias("aligned"))
+
+
+@query("""SELECT n, CASE WHEN n = 0 THEN '0' ELSE printf(CASE WHEN s >= 100 THEN '%.0f' WHEN s >= 10 THEN '%.1f' ELSE '%.2f' END, s) END || ' ' || u AS text
+ FROM (SELECT n, n / pow(1024.0, e) AS s, ['B', 'KB', 'MB', 'GB', 'TB', 'PB'][e + 1] AS u FROM (SELECT event_id * event_id * event_id AS n, CASE WHEN n < 1024 THEN 0 WHEN n < 1048576 THEN 1 WHEN n < 1073741824 THEN 2 WHEN n < 1099511627776 THEN 3 ELSE 4 END AS e FROM events))""")
+def fn_format_bytes(spark, sf):
+    n = F.col("id") * F.col("id") * F.col("id")
+    return schema.events(spark, sf).select(n.alias("n")).select("n", S.format_bytes(F.col("n")).alias("text"))
+
+
+@query("SELECT event_id AS id, '01' || printf('%016x', (epoch_us(ts) // 1000) * 1000000) || printf('%016x', user_id) || printf('%016x', event_id) AS key FROM events")
+def storage_key(spark, sf):
+    return schema.events(spark, sf).select("id", S.storage_key(S.PREFIX["log"], F.col("ts_ms") * 1000000, F.col("host"), F.col("id")).alias("key"))
+
+
+@query("SELECT event_id AS id, event_id % 1024 AS flags FROM events WHERE ((event_id % 1024) & 65) <> 0")
+def capability_filter(spark, sf):
+    mask = S.CAPABILITIES["network"] | S.CAPABILITIES["injection"]
+    e = schema.events(spark, sf).select("id", (F.col("id") % 1024).alias("flags"))
+    return e.where(S.has_capability(F.col("flags"), mask))
+
+
+@query("""SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'MalwareDetected' ELSE 'Custom("' || event_type || '")' END AS event_type, 'Raw' AS format FROM events""")
+def api_enum_map(spark, sf):
+    kind = F.when(F.col("event_type") == "error", "MalwareDetected").otherwise(F.col("event_type"))
+    return schema.events(spark, sf).select("id", S.api_event_type(kind).alias("event_type"), S.api_format(F.lit("Unknown")).alias("format"))
+
+
+@query("SELECT event_id AS id, event_type, CAST(user_id AS VARCHAR) AS source_host, 'Raw' AS format, props AS metadata FROM events")
+def api_projection(spark, sf):
+    return schema.events(spark, sf).select("id", "event_type", F.col("host").cast("string").alias("source_host"), S.api_format(F.lit("x")).alias("format"), F.make_valid_utf8(F.col("meta")).alias("metadata"))
+
+
+@query("SELECT vec_id AS id, vec_id % 2 = 0 AS has_vector FROM embeddings")
+def builder_defaults(spark, sf):
+    v = F.when(F.col("id") % 2 == 0, F.col("vec")).otherwise(F.expr("cast(array() as array<float>)"))
+    return schema.vectors(spark, sf).select("id", ingest.valid_vector(v).isNotNull().alias("has_vector"))
+
+
+# ingest and streams -----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_type, CAST(user_id AS VARCHAR) AS host, 'Raw' AS format, props AS meta FROM events")
+def json_ingest(spark, sf):
+    e = schema.events(spark, sf)
+    line = F.to_json(F.struct("event_type", F.col("host").cast("string").alias("source_host"), F.col("meta").alias("metadata")))
+    return ingest.events_from_json(e.select(line.alias("value"))).select("event_type", "host", "format", "meta")
+
+
+@query("SELECT event_id AS id, event_type FROM events")
+def ingest_roundtrip(spark, sf):
+    s = store.Store(spark, _scratch(spark, "ingest"))
+    s.append("logs", partition.assign(schema.events(spark, sf), "daily"), ("date",))
+    return s.read("logs").select("id", "event_type")
+
+
+@query("SELECT event_type, '10.0.0.' || user_id AS ip, 'h' || event_id AS host, true AS valid FROM events")
+def ingest_validate(spark, sf):
+    text = lambda c: F.col(c).cast("string")
+    line = F.concat(F.lit("CEF:0|v|p|1|sig|"), "event_type", F.lit("|5|src=10.0.0."), text("host"), F.lit(" shost=h"), text("id"))
+    return ingest.parse(schema.events(spark, sf).select(line.alias("value")), "CEF").select("event_type", "ip", "host", "valid")
+
+
+@query("SELECT vec_id AS id, CAST(8 AS BIGINT) AS dim, CAST(0 AS DOUBLE) AS total FROM embeddings")
+def embed_noop(spark, sf):
+    v = schema.vectors(spark, sf).select("id", F.array_repeat(F.lit(0.0), 8).alias("vec"))
+    return v.select("id", F.size("vec").cast("long").alias("dim"), F.aggregate("vec", F.lit(0.0), lambda s, x: s + x).alias("total"))
+
+
+@query()
+def embed_udf(spark, sf):
+    d = ingest.embed(schema.text_logs(spark, sf), "raw", ingest.HashEmbedder(16))
+    return d.select("id", F.size("vec").alias("dim"), F.round(F.col("vec")[0].cast("double"), 6).alias("first"))
+
+
+def _stream(spark, sf, parts: int = 4):
+    """Events written as files of a directory, and that directory as a stream."""
+    path = _scratch(spark, "stream")
+    e = schema.events(spark, sf).select("id", "ts", "event_type", "host", "meta")
+    e.repartition(parts, "id").write.parquet(f"{path}/in")
+    return path, stream.read_files(spark, f"{path}/in", "id long, ts timestamp_ntz, event_type string, host long, meta string")
+
+
+@query("SELECT event_id AS id, event_type FROM events")
+def stream_ingest(spark, sf):
+    path, s = _stream(spark, sf)
+    stream.run_once(s, f"{path}/out", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out").select("id", "event_type")
+
+
+@query("SELECT event_id AS id FROM events")
+def stream_dedup(spark, sf):
+    path = _scratch(spark, "dedup")
+    e = schema.events(spark, sf).select("id", F.col("ts").cast("timestamp").alias("ts"))
+    e.unionByName(e).repartition(2, "id").write.parquet(f"{path}/in")
+    s = stream.deduplicated(stream.read_files(spark, f"{path}/in", "id long, ts timestamp", 100), "id", "ts", "60 days")
+    stream.run_once(s, f"{path}/out", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out").select("id")
+
+
+@query("SELECT e.event_id AS source_id, e.user_id AS target_id, 'HashMatch' AS kind, CAST(1 AS DOUBLE) AS score FROM events e")
+def stream_correlate(spark, sf):
+    path = _scratch(spark, "correlate")
+    schema.hash_logs(spark, sf).repartition(2, "id").write.parquet(f"{path}/in")
+    s = stream.read_files(spark, f"{path}/in", "id long, raw string, meta string", 1)
+    stream.correlated(s, schema.user_artifacts(spark, sf), f"{path}/out", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out").select("source_id", "target_id", "kind", "score")
+
+
+@query(_CHAIN + " SELECT chain, seq, hash FROM n")
+def stream_chain(spark, sf):
+    path = _scratch(spark, "chain")
+    r = _records(spark, sf).select("chain", "seq", F.sha2(F.col("data"), 256).alias("data_hash"))
+    r.repartition(1).write.parquet(f"{path}/in")
+    s = stream.chained(stream.read_files(spark, f"{path}/in", "chain long, seq long, data_hash string"))
+    stream.run_once(s, f"{path}/out", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out").select("chain", "seq", "hash")
+
+
+@query("SELECT event_id AS id, event_type FROM events UNION ALL SELECT event_id + 1000000, event_type FROM events WHERE event_id < 100")
+def stream_restart(spark, sf):
+    """A second run with the same checkpoint reads only what came since."""
+    path, s = _stream(spark, sf)
+    stream.run_once(s, f"{path}/out", f"{path}/checkpoint")
+    more = schema.events(spark, sf).where("id < 100").select((F.col("id") + 1000000).alias("id"), "ts", "event_type", "host", "meta")
+    more.write.mode("append").parquet(f"{path}/in")
+    stream.run_once(s, f"{path}/out", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out").select("id", "event_type")
