@@ -54,8 +54,8 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         if now == total or now is None:
             return labels
         total = now
-        near = e.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
-        jump = labels.select(F.col("v").alias("label"), F.col("label").alias("next"))
-        step = labels.join(near, "v").join(jump, "label").select("v", F.least("near", "next").alias("label"))
+        # a vertex's own label is like one more neighbour: the label of that label comes along
+        near = e.unionByName(labels.select(F.col("v").alias("a"), F.col("label").alias("b")))
+        step = near.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("label"))
         labels = materialize(step, "labels")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

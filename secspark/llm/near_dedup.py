@@ -199,19 +199,19 @@ def _candidates(share: float):
 
 
 def _joiner(share: float, per_cent: int):
-    """Confirms candidate pairs on full sets until the cell's components are final; yields the links that join two."""
+    """Confirms candidate pairs on full sets until the cell's components are final; yields the labels of components that are one."""
 
     def run(batches):
         for rows in _cells(batches):
             c = _Cell(rows, share)
             sets = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in rows["s"].combine_chunks()]
-            labels, found = c.label.copy(), []
+            labels, found = c.label.copy(), []  # found: labels, not vertices
             for q in c.low:
                 for x in c.of(q, labels):
                     if labels[x] != labels[q]:
                         both = len(np.intersect1d(sets[q], sets[x], assume_unique=True))
                         if both and 100 * both >= per_cent * (len(sets[q]) + len(sets[x]) - both):
-                            found.append((c.v[q], c.v[x]))
+                            found.append((c.label[q], c.label[x]))
                             labels[labels == labels[x]] = labels[q]
             if found:
                 a, b = zip(*found, strict=True)
@@ -290,7 +290,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, id_col: str
         cells = materialize(cells.mapInArrow(_candidates(share), cells.schema), "candidates")
         if not cells.isEmpty():
             cells = cells.join(sized.select("v", "n", "s"), ["v", "n"]).repartition(*by).sortWithinPartitions(*by)
-            labels = components(links.unionByName(cells.mapInArrow(_joiner(share, per_cent), "a long, b long")))
+            joined = materialize(cells.mapInArrow(_joiner(share, per_cent), "a long, b long").distinct(), "joined")
+            if not joined.isEmpty():
+                merged = components(joined).select(F.col("v").alias("label"), F.col("label").alias("root"))
+                # a class without links is a component of its own
+                alone = merged.join(labels, "label", "left_anti").select(F.col("label").alias("v"), F.col("root").alias("label"))
+                labels = labels.join(merged, "label", "left").select("v", F.coalesce("root", "label").alias("label")).unionByName(alone)
 
     top = members.groupBy("doc_id").agg(F.min("v").alias("v")).join(labels, "v", "left").select("doc_id", F.coalesce("label", "v").alias("component_id"))
     out = sigs.select("doc_id", F.col("n").alias("n_shingles")).join(top, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
