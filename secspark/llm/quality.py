@@ -189,7 +189,8 @@ def fit(stats: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, ridge:
         return None, 1.0 if about["y"] is None else about["y"]
     mean, std = (np.array([about[f"{p}{i}"] for i in range(len(STATS))]) for p in "ms")
     fourier = Fourier(mean, std)
-    parts = rows.where("not cal").repartition(PARTS, "h").mapInArrow(_sums_run(fourier), "a binary, y binary").collect()
+    # coalesced, so that no more than PARTS matrices reach the driver
+    parts = rows.where("not cal").coalesce(PARTS).mapInArrow(_sums_run(fourier), "a binary, y binary").collect()
     d = FEATURES + 1
     a = sum(np.frombuffer(p["a"]).reshape(d, d) for p in parts)
     y = sum(np.frombuffer(p["y"]) for p in parts)
