@@ -5,11 +5,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from secspark.operators import search
 
+try:
+    import ahocorasick
+except ImportError:  # the nested loop below does the same
+    ahocorasick = None
+
 THRESHOLD, LIMIT, SHORT, LEAST_BYTES = 0.85, 100, 16, 5
 #: Artifact strings up to which they are shipped to all tasks for the containment test.
 SHIPPED_STRINGS = 50_000
@@ -25,23 +31,58 @@ def by_vector(logs: DataFrame, artifacts: DataFrame, threshold: float = THRESHOL
     return _rows(p.withColumnsRenamed({"a": "source_id", "b": "target_id"}), "VectorSimilarity", F.col("score"))
 
 
+def _contained(strings):
+    """``(source_id, target_id)`` of the logs that contain any of ``(target_id, s)``: one pass over each text."""
+
+    def run(frames):
+        targets: dict = {}
+        for t, s in strings.value:
+            targets.setdefault(s, []).append(t)
+        tree = ahocorasick.Automaton()
+        for s in targets:
+            tree.add_word(s, s)
+        if targets:
+            tree.make_automaton()
+        for f in frames:
+            out = []
+            if targets:
+                for i, raw, meta in zip(f["source_id"], f["raw"], f["meta"], strict=True):
+                    hit = {s for text in (raw, meta) if text for _, s in tree.iter(text)}
+                    out += [(i, t) for t in {t for s in hit for t in targets[s]}]
+            yield pd.DataFrame(out, columns=["source_id", "target_id"])
+
+    return run
+
+
+def _containing(logs: DataFrame, strings: DataFrame) -> DataFrame:
+    """Pairs of ``logs (id, raw, meta)`` and shipped ``strings (target_id, s)``, each once."""
+    text = logs.select(F.col("id").cast("long").alias("source_id"), "raw", "meta")
+    side = logs.sparkSession.sparkContext.broadcast([(r["target_id"], r["s"]) for r in strings.collect()])
+    return text.mapInPandas(_contained(side), "source_id long, target_id long")
+
+
 def by_hash(logs: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """A short hash occurs in a text just if it is a 16-character window of a run of hex digits: an equi-join."""
+    """Logs that contain an artifact's short hash. Few hashes are shipped; else an equi-join: a short hash occurs in a text
+    just if it is a 16-character window of a run of hex digits."""
+    hashes = artifacts.select(F.col("id").alias("target_id"), F.substring("hash", 1, SHORT).alias("short")).where(F.length("short") == SHORT)
+    if ahocorasick and hashes.limit(SHIPPED_STRINGS + 1).count() <= SHIPPED_STRINGS:
+        return _rows(_containing(logs, hashes.withColumnRenamed("short", "s")), "HashMatch", F.lit(1.0))
     runs = F.concat(*[F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(f"[0-9a-f]{{{SHORT},}}"), F.lit(0)) for c in ("raw", "meta")])
-    text = logs.select(F.col("id").alias("source_id"), F.explode(runs).alias("run"))
-    at = F.explode(F.sequence(F.lit(1), F.length("run") - (SHORT - 1)))
-    windows = text.select("source_id", "run", at.alias("at")).select("source_id", F.substring("run", F.col("at"), F.lit(SHORT)).alias("short")).distinct()
-    hashes = artifacts.select(F.col("id").alias("target_id"), F.substring("hash", 1, SHORT).alias("short"))
-    return _rows(windows.join(hashes, "short").distinct(), "HashMatch", F.lit(1.0))
+    cut = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - (SHORT - 1)), lambda i: F.substring(r, i, F.lit(SHORT)))
+    # windows are made distinct inside their row; pairs are few, so they are what is shuffled
+    windows = logs.select(F.col("id").alias("source_id"), F.explode(F.array_distinct(F.flatten(F.transform(runs, cut)))).alias("short"))
+    return _rows(windows.join(hashes, "short").select("source_id", "target_id").distinct(), "HashMatch", F.lit(1.0))
 
 
 def by_filename(logs: DataFrame, artifacts: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """Strings of at least five bytes inside a log's text or metadata, one row for each pair."""
     strings = artifacts.select(F.col("id").alias("target_id"), F.explode("strings").alias("s")).where(F.octet_length("s") >= least).distinct()
     if strings.limit(SHIPPED_STRINGS + 1).count() <= SHIPPED_STRINGS:
-        strings = F.broadcast(strings)
-        text = logs.select(F.col("id").alias("source_id"), F.coalesce("raw", F.lit("")).alias("raw"), F.coalesce("meta", F.lit("")).alias("meta"))
-        hit = text.join(strings, F.col("raw").contains(F.col("s")) | F.col("meta").contains(F.col("s")))
+        if ahocorasick:
+            hit = _containing(logs, strings)
+        else:
+            text = logs.select(F.col("id").alias("source_id"), F.coalesce("raw", F.lit("")).alias("raw"), F.coalesce("meta", F.lit("")).alias("meta"))
+            hit = text.join(F.broadcast(strings), F.col("raw").contains(F.col("s")) | F.col("meta").contains(F.col("s")))
     else:
         # windows of the shortest length meet the strings' heads; the whole string is tested then
         both = F.explode(F.array(F.coalesce("raw", F.lit("")), F.coalesce("meta", F.lit(""))))
