@@ -53,8 +53,11 @@ def _blocks(left: DataFrame, right: DataFrame, found, schema: str, rows: int) ->
     block = lambda n, s: F.pmod(F.xxhash64("id", F.lit(s)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     lhs = left.select("*", block(nl, 1).alias("i")).select("*", every(nr).alias("j"))
-    rhs = right.select("*", block(nr, 2).alias("j")).select("*", every(nl).alias("i"))
-    return lhs.groupBy("i", "j").cogroup(rhs.groupBy("i", "j")).applyInPandas(found, schema)
+    # columns get names of their own: both sides may be the same table
+    own = {c: f"r_{c}" for c in right.columns}
+    rhs = right.select("*", block(nr, 2).alias("rj")).withColumnsRenamed(own).select("*", every(nl).alias("ri"))
+    back = {r: c for c, r in own.items()}
+    return lhs.groupBy("i", "j").cogroup(rhs.groupBy("ri", "rj")).applyInPandas(lambda a, b: found(a, b.rename(columns=back)), schema)
 
 
 def _whole(left: DataFrame, right: DataFrame, found, schema: str) -> DataFrame:
