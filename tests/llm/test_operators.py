@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import struct
@@ -103,24 +104,69 @@ def test_suffix_tree(docs, empty):
     assert suffix_tree.score_texts(empty, F.lit(True)).count() == 0
 
 
-def test_suffix_tree_is_a_distribution():
-    import pyarrow as pa
-
-    texts = [w.encode().split() for w in ("the cat sat", "the cat ran", "a cat sat the", "the the the")] * 40
-    batch = pa.RecordBatch.from_arrays([pa.array([b" ".join(t).decode() for t in texts])], ["text"])
-    code, n = (np.concatenate([b.column(k).to_numpy() for b in suffix_tree._count_grams([batch])]) for k in (0, 1))
-    levels = {}
-    for d in range(suffix_tree.DEPTH + 1):
-        key, inv = np.unique(code & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
-        cnt = np.bincount(inv, n).astype(np.int64)
-        ctx, ci = np.unique(key >> 8, return_inverse=True)
-        levels[d] = (key >> 8, key & 255, cnt, np.bincount(ci, cnt).astype(np.int64)[ci])
-    tree = suffix_tree.grow(levels)
-    assert tree.states > 3
-    spread = 10.0**tree.logp.astype(float)
-    spread[:, 0] *= 256 - (tree.symbol > 0).sum()
-    assert np.allclose(spread.sum(axis=1), 1, atol=1e-4)
-    assert tree.score([b"the cat sat".split()])[0] > tree.score([b"tac eht tas".split()])[0]
+def brute_tree(texts, depth, least):
+    """log10 probability of each token of each text, by dictionaries over the symbols themselves."""
+    seqs = [["<end>", *t, "<end>"] for t in texts]
+    grams = Counter(tuple(s[i - d : i + 1]) for s in seqs for i in range(1, len(s)) for d in range(min(depth, i) + 1))
+    single = {g: c for g, c in grams.items() if len(g) == 1}
+    total, kinds = sum(single.values()), len(single)
+    grams = {g: c for g, c in grams.items() if c >= max(2, least * total)}
+    under = {}
+    for g in grams:
+        if len(g) > 1:
+            under.setdefault(g[:-1], []).append(g)
+
+    def base(w):
+        return math.log10((single.get((w,), 0) + 0.1) / (total + 0.1 * (kinds + 1)))
+
+    def prob(ctx, w):
+        if not ctx:
+            return 10 ** base(w)
+        if ctx not in under:
+            return prob(ctx[1:], w)
+        t, k, n = len(under[ctx]), sum(grams[g] for g in under[ctx]), grams[ctx]
+        return ((grams[(*ctx, w)] if (*ctx, w) in grams else 0) + (t + n - k) * prob(ctx[1:], w)) / (n + t)
+
+    kept = set()
+    for ctx, gs in under.items():
+        t, k, n = len(gs), sum(grams[g] for g in gs), grams[ctx]
+        gain = sum(grams[g] * math.log(prob(ctx, g[-1]) / prob(ctx[1:], g[-1])) for g in gs)
+        gain += (n - k) * math.log((t + n - k) / (n + t)) if n > k else 0
+        if gain > 0.5 * t * math.log(n):
+            kept |= {ctx[x:] for x in range(len(ctx))}
+
+    def state(before):
+        out = ()
+        while len(out) < len(before) and before[len(before) - len(out) - 1 :] in kept:
+            out = before[len(before) - len(out) - 1 :]
+        return out
+
+    def score(t):
+        s = ["<end>", *t, "<end>"]
+        return sum(math.log10(prob(state(tuple(s[max(0, i - depth) : i])), s[i])) for i in range(1, len(s)))
+
+    return score, base, prob, kept, [g[0] for g in single]
+
+
+@pytest.mark.parametrize("depth,least", [(2, 2e-7), (3, 2e-7), (2, 1e-4)])
+def test_suffix_tree_scores(docs, depth, least):
+    held = [(i, t.encode().lower().split()) for i, t in collected(docs)]
+    score, _, prob, kept, vocabulary = brute_tree([w for i, w in held if i is not None and zlib.crc32(str(i).encode()) % 10], depth, least)
+    assert {len(c) for c in kept} >= {1, 2}
+    for ctx in sorted(kept, key=str)[:40]:
+        assert abs(sum(prob(ctx, w) for w in vocabulary) + prob(ctx, "never seen") - 1) < 1e-9
+    got = suffix_tree.score_texts(docs, suffix_tree.fold(F.col("doc_id")) != 0, depth=depth, least=least, head=20).collect()
+    want = sorted((i if i is not None else -1, score(w)) for i, w in held)
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["score"]) for r in got)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert np.allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-5, atol=1e-3)
+
+
+def test_suffix_tree_packs_codes():
+    code = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64)) << np.uint64(1)
+    n = np.arange(1, 1001)
+    back = suffix_tree._unpack(suffix_tree._pack(code, n), 1000)
+    assert (back[0] == code).all() and (back[1] == n).all()
 
 
 def test_token_counts(docs, empty):
