@@ -165,8 +165,9 @@ def test_suffix_tree_scores(docs, depth, least):
 def test_suffix_tree_packs_codes():
     code = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64)) << np.uint64(1)
     n = np.arange(1, 1001)
-    back = suffix_tree._unpack(suffix_tree._pack(code, n), 1000)
-    assert (back[0] == code).all() and (back[1] == n).all()
+    levels = [(code, n), (code[:0], n[:0]), (code[:1], n[:1])]
+    for got, want in zip(suffix_tree._unpack(suffix_tree._pack(levels), 2), levels, strict=True):
+        assert all((g == w).all() and len(g) == len(w) for g, w in zip(got, want, strict=True))
 
 
 def test_token_counts(docs, empty):
