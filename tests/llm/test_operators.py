@@ -183,6 +183,19 @@ def test_token_counts(docs, empty):
     assert token_counts.token_counts(empty).count() == 0
 
 
+def test_both_tokenizer_libraries_agree():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    other.encode_special_tokens = True
+    enc, rnd = encoder(vocabulary_path()), random.Random(3)
+    pool = "ab Z\t\n\r\x0b\x00\x85\xa0éßİſ文١Ⅷ½😀’'sdmt_-.,"
+    for _ in range(2000):
+        t = "".join(rnd.choice([*pool, "<|endoftext|>", "'ll", "  "]) for _ in range(rnd.randrange(25)))
+        assert other.encode(t, add_special_tokens=False).ids == enc.encode(t)
+
+
 def test_edits_at_random():
     enc, rnd = encoder(vocabulary_path()), random.Random(1)
     letters = "ab '\n\t19.-é're  ll"
