@@ -162,6 +162,14 @@ def test_suffix_tree_scores(docs, depth, least):
     assert np.allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-5, atol=1e-3)
 
 
+@pytest.mark.parametrize("head", [1, 200_000])  # the first sends n-grams through the shuffles
+def test_suffix_tree_keeps_rare_ngrams_of_large_corpora(spark, head):
+    rows = [(i, "a " * 800_000) for i in range(20)] + [(20, "x y"), (21, "x y"), (22, "y x q"), (23, "x z"), (24, "x y")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in suffix_tree.score_texts(d, F.col("doc_id") < 24, head=head).collect()}
+    assert got[24]["score"] > got[24]["base_score"] + 1 and got[24]["score"] == pytest.approx(got[20]["score"])
+
+
 def test_suffix_tree_packs_codes():
     code = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64)) << np.uint64(1)
     n = np.arange(1, 1001)
