@@ -22,7 +22,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from secspark.llm.common import materialize, read_table
@@ -123,13 +123,23 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, budget: float = 1.5, max_epoch
     return taken.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.when(F.col("copies") > 0, slot).alias("shard"), F.xxhash64(F.lit(seed + 1), "r").alias("shard_order"))
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` as mixed: rows not taken go, rows taken twice come twice; the columns stay."""
-    plan = mix_sources(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options)
+def copy_shard(shard: Column, copy: Column, shards: int, max_epochs: int) -> Column:
+    """Where copy 1, 2, ... goes: of two copies, the second half the shards further on."""
+    return F.pmod(shard + F.floor((copy - 1) * shards / max_epochs), F.lit(shards)).cast("int")
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", shards: int = 64, max_epochs: int = 2, **options) -> DataFrame:
+    """``docs`` as mixed: rows not taken go, rows taken twice come twice; the columns stay. Each shard's rows lie together, in
+    the shard's order."""
+    plan = mix_sources(docs, id_col=id_col, source_col=source_col, text_col=text_col, shards=shards, max_epochs=max_epochs, **options)
     # rows that share id, source and size get the largest of their counts
-    plan = plan.groupBy(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source")).agg(F.max("copies").alias("m_copies")).where("m_copies > 0")
+    best = F.max(F.struct("copies", "shard", "shard_order")).alias("m")
+    plan = plan.groupBy(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source")).agg(best).where("m.copies > 0")
     both = docs.join(plan, docs[id_col].cast("long").eqNullSafe(F.col("m_id")) & docs[source_col].eqNullSafe(F.col("m_source")))
-    return both.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), "m_copies")).alias("m_copy")).drop("m_copy")
+    copies = both.select(*[docs[c] for c in docs.columns], "m", F.explode(F.sequence(F.lit(1), "m.copies")).alias("m_copy"))
+    order = F.when(F.col("m_copy") == 1, F.col("m.shard_order")).otherwise(F.xxhash64("m.shard_order", "m_copy"))
+    placed = copies.withColumn("m_shard", copy_shard(F.col("m.shard"), F.col("m_copy"), shards, max_epochs)).withColumn("m_order", order)
+    return placed.repartition("m_shard").sortWithinPartitions("m_shard", "m_order").drop("m", "m_copy", "m_shard", "m_order")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

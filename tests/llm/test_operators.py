@@ -303,6 +303,26 @@ def test_mixing(docs, empty):
     assert mixing.mix_sources(empty).count() == 0 and mixing.mixed_rows(empty).count() == 0
 
 
+def test_mixed_rows_leave_by_shard(spark):
+    rnd = random.Random(6)
+    rows = [(i, " ".join(words(rnd, rnd.choice([1, 5, 30]))), ["a", "b", None][i % 3]) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {s: [] for s in range(4)}
+    for r in mixing.mix_sources(d, shards=4, rows_per_block=5).collect():
+        for c in range(r["copies"]):
+            want[(r["shard"] + 2 * c) % 4].append(r["doc_id"])
+    got = [r["doc_id"] for r in mixing.mixed_rows(d, shards=4, rows_per_block=5).collect()]
+    assert Counter(got) == Counter(x for w in want.values() for x in w) and max(Counter(got).values()) == 2
+    assert all(a != b for a, b in zip(got, got[1:], strict=False))
+    at = 0
+    while at < len(got):  # shard after shard, none in the order of the table
+        block = next(s for s, w in want.items() if w and Counter(got[at : at + len(w)]) == Counter(w))
+        part = got[at : at + len(want[block])]
+        assert part != sorted(part)
+        at += len(want.pop(block))
+    assert not any(want.values())
+
+
 def test_packing(docs, empty):
     enc = encoder(vocabulary_path())
     got = packing.pack(docs).collect()
