@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from secspark import scratch
 from secspark.functions import scalar as S
 from secspark.functions import vectors as V
 from secspark.operators import ann, chain, correlate, partition, search, store
@@ -31,9 +30,7 @@ def query(sql: str | None = None, name: str | None = None):
     return keep
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir() + "/secspark-scratch"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+_scratch = scratch.scratch_dir
 
 
 # scans and lookups ---------------------------------------------------------------------------------------------------
