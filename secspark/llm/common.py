@@ -2,32 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from secspark.scratch import discard, exists, materialize, remove, scratch_dir  # noqa: F401
+
 #: Rows up to which a two-column side may be broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 200_000
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.gettempdir() + "/secspark-scratch"
-    return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def sized_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` if it has at most ``limit`` rows (counted here), else leave the choice to the planner."""
     n = df.count() if rows is None else rows
@@ -52,10 +35,12 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     for _ in range(max_rounds):
         now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if now == total or now is None:
+            discard(e)
             return labels
         total = now
         # a vertex's own label is like one more neighbour: the label of that label comes along
         near = e.unionByName(labels.select(F.col("v").alias("a"), F.col("label").alias("b")))
         step = near.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("label"))
-        labels = materialize(step, "labels")
+        labels, old = materialize(step, "labels"), labels
+        discard(old)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import struct
+from collections.abc import Iterator
 from pathlib import Path
 
 import regex
 import tiktoken
 
-#: The public vocabulary, in both libraries' forms (the same ids).
+#: The public vocabulary: its rank file, and beside it the JSON file that names its added tokens.
 RANKS = "byte_bpe_50k.tiktoken"
 
 
@@ -21,19 +23,33 @@ def vocabulary_path(name: str = RANKS) -> str:
 
 
 class Encoder:
-    """Ids of texts: pieces of the split pattern are looked up, new ones encoded; the table is emptied when it is full."""
+    """Ids of texts. Added tokens of the vocabulary are matched first, as its own library does by default; the text between
+    them is split into pieces, which are looked up, new ones encoded; the table is emptied when it is full."""
 
     def __init__(self, path: str, limit: int = 400_000):
         import public_tokenizers
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
+        also = Path(path).with_suffix(".json")
+        self.added = {x["content"]: x["id"] for x in json.loads(also.read_text())["added_tokens"]} if also.exists() else {}
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self._bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._known: dict[str, int] = {}
+        self._split = regex.compile("|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) or "(?!)")
+        #: Characters past its end that a piece may depend on ("'" before "re", or an added token), and one.
+        self.reach = 3 + max([0, *map(len, self.added)])
+        self._bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.added)
+        self._known: dict[str, int] = dict.fromkeys(self.added, 1)
         self._limit = limit
 
-    def piece_ids(self, piece: str) -> list[int]:
-        return self._bpe.encode_ordinary(piece)
+    def pieces(self, text: str) -> Iterator[str]:
+        """The pieces of a text from left to right; their concatenation is the text."""
+        at = 0
+        for m in self._split.finditer(text):
+            if m.start() > at:
+                yield from self.pattern.findall(text[at : m.start()])
+            yield m.group()
+            at = m.end()
+        if at < len(text):
+            yield from self.pattern.findall(text[at:] if at else text)
 
     def counts(self, pieces: list[str]) -> list[int]:
         """Tokens of each piece."""
@@ -43,13 +59,14 @@ class Encoder:
         except KeyError:
             if len(known) > self._limit:
                 known.clear()
+                known.update(dict.fromkeys(self.added, 1))
             for p in pieces:
                 if p not in known:
                     known[p] = len(self._bpe.encode_ordinary(p))
             return [known[p] for p in pieces]
 
     def encode(self, text: str) -> list[int]:
-        return self._bpe.encode_ordinary(text)
+        return self._bpe.encode(text, allowed_special="all", disallowed_special=())
 
 
 @functools.lru_cache(2)

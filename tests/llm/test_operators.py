@@ -6,6 +6,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -196,29 +197,66 @@ def test_both_tokenizer_libraries_agree():
     from tokenizers import Tokenizer
 
     other = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    other.encode_special_tokens = True
     enc, rnd = encoder(vocabulary_path()), random.Random(3)
     pool = "ab Z\t\n\r\x0b\x00\x85\xa0éßİſ文١Ⅷ½😀’'sdmt_-.,"
     for _ in range(2000):
         t = "".join(rnd.choice([*pool, "<|endoftext|>", "'ll", "  "]) for _ in range(rnd.randrange(25)))
         assert other.encode(t, add_special_tokens=False).ids == enc.encode(t)
+        assert "".join(enc.pieces(t)) == t and sum(enc.counts(list(enc.pieces(t)))) == len(enc.encode(t))
+    for t in ("<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "  <|endoftext|>  ", "<|endoftext|", "x<|endoftext|>\n<|endoftext|>y", "<|endoftext<|endoftext|>|>"):
+        assert other.encode(t, add_special_tokens=False).ids == enc.encode(t)
+    assert enc.encode("a <|endoftext|> b").count(50256) == 1
 
 
 def test_edits_at_random():
     enc, rnd = encoder(vocabulary_path()), random.Random(1)
-    letters = "ab '\n\t19.-é're  ll"
+    letters = [*"ab '\n\t19.-é're  ll", "<|endoftext|>", "<|endof", "text|>"]
+
+    def some(n):
+        return "".join(rnd.choice(letters) for _ in range(n))
+
     for _ in range(400):
-        t = "".join(rnd.choice(letters) for _ in range(rnd.choice([0, 1, 5, 40, 900])))
-        tree = token_counts.TokenTree(t, enc)
+        t = some(rnd.choice([0, 1, 5, 40, 900]))
+        tree, _ = token_counts.TokenTree.of(t, enc)
         for _ in range(4):
             s = rnd.randint(0, len(t))
-            e = min(len(t), s + rnd.choice([0, 1, 3, 50]))
-            x = "".join(rnd.choice(letters) for _ in range(rnd.choice([0, 1, 2, 60])))
+            e = min(len(t), s + rnd.choice([0, 1, 3, 50, 400]))
+            x = some(rnd.choice([0, 1, 2, 60]))
             tree.edit(s, e, x)
             t = t[:s] + x + t[e:]
             assert (tree.text(), tree.total) == (t, len(enc.encode(t)))
     with pytest.raises(ValueError):
-        token_counts.apply_edits(token_counts.TokenTree("abcdef", enc), [(0, 3, ""), (2, 4, "")])
+        token_counts.apply_edits(token_counts.TokenTree.of("abcdef", enc)[0], [(0, 3, ""), (2, 4, "")])
+    with pytest.raises(ValueError):
+        token_counts.TokenTree.of("abc", enc)[0].edit(2, 4, "")
+
+
+def test_edits_of_long_texts_take_time_in_proportion():
+    begun = time.perf_counter()
+    assert token_counts.find_edits("x" * 1_000_000 + " @") == [] and token_counts.find_edits("1" * 1_000_000) == [(0, 1_000_000, "<NUMBER>")]
+    assert len(token_counts.find_edits("ab.c@d.ef " * 50_000)) == 50_000
+    enc = encoder(vocabulary_path())
+    tree, _ = token_counts.TokenTree.of("some words of a text " * 40_000, enc)
+    assert max(tree.edit(k * 21, k * 21 + 4, "any") for k in range(0, 40_000, 100)) < 4 * token_counts.LEAF
+    assert time.perf_counter() - begun < 20
+
+
+def test_edits_from_a_table(spark, docs):
+    enc = encoder(vocabulary_path())
+    edits = spark.createDataFrame([(9, 0, 5, "new "), (9, 20, 20, "more"), (11, 3, 9, None), (37, 0, 0, "<|endoftext|>"), (99_999, 0, 1, "none"), (None, 0, 1, "x")], "doc_id long, start int, end int, text string")
+    trees = token_counts.build_trees(docs)
+    got = Counter((r["doc_id"], r["n_tokens"], r["n_edits"], r["edited_tokens"]) for r in token_counts.edited_counts(trees, edits).collect())
+    want = Counter()
+    for i, t in collected(docs):
+        mine = sorted(((s, e, x or "") for j, s, e, x in [tuple(r) for r in edits.collect()] if j == i and i is not None), reverse=True)
+        u = t
+        for s, e, x in mine:
+            u = u[:s] + x + u[e:]
+        want[i, len(enc.encode(t)), len(mine), len(enc.encode(u))] += 1
+    assert got == want
+    outside = spark.createDataFrame([(3, 0, 50, "x")], "doc_id long, start int, end int, text string")
+    with pytest.raises(Exception, match="outside the text"):
+        token_counts.edited_counts(trees, outside).collect()
 
 
 def grouped(docs):
