@@ -8,16 +8,20 @@ fewer words the whole sequence is its one shingle; without words the set is empt
    small sets have 128 comparable registers too.
 2. Equal sets collapse to one class first, so thousands of copies are one vertex.
 3. 32 bands of 4 registers. A pair at the threshold shares no band with a probability under 1e-7. In each bucket all
-   classes are compared with its most central one (in the most and largest buckets): a star, not all pairs.
-4. A collision-corrected estimate from the registers drops pairs far below the threshold (over six standard
-   deviations); the others are confirmed on full sets.
-5. Components of these links. In buckets of three or more classes that still hold several components, all classes
-   outside the largest component are compared with all others, blockwise. Before that, shingles
-   that occur in one of these classes alone are counted: a pair can't share them, so it must be able to reach the
-   threshold without them. Blocks with candidates left get the full sets and confirm pairs while these are in different
-   components; no pair is written but the links that join two components.
-
-Cases: null text is empty; rows sharing a doc_id are one vertex (each of its sets may link it); a null doc_id takes no
+   classes are compared with its hub, the most central one (in the most and largest buckets): a star, not all pairs.
+4. A collision-corrected estimate from the registers drops star pairs far below the threshold (over six standard
+   deviations); the others are confirmed on full sets, 64 classes to a copy of the hub's set.
+5. Components of these links. Buckets whose classes then lie in one component are final. In the others two classes A and B
+   with the hub H are compared by their differences D = set xor H's set, as |A xor B| = |D_A| + |D_B| - 2 |D_A and D_B|:
+   a link that isn't already given by two links with H needs at least max(1, |D| - T) common members of D, T being the
+   largest |A xor B| that a set of that size may have in a link. So only members of D that occur in two components at least
+   ("live") count, a class with fewer live members than that can't link, and two that link share one of the first
+   min(|D|, T + 1) members in order of rarity. Classes of hubs with more than ``BLOCK`` are dealt to lists (H, member) of
+   these, others to one list: their number follows the sum of the differences, not the square of a bucket. Inside a list classes are compared on their live members and sizes, which
+   decides exactly; a list of more than ``BLOCK`` rows is compared block by block. No pair is written but the links that join
+   two components.
+
+Cases: null text is empty; rows sharing a doc_id are in one component (each of its sets may link it; ids under 2**62); a null doc_id takes no
 part (component_id null, kept true); repeated rows and extra columns change nothing; an empty table gives no rows.
 """
 
@@ -28,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from secspark.llm.common import components, materialize, read_table, sized_broadcast
@@ -36,8 +40,8 @@ from secspark.llm.textbytes import doc_shingles, mix, text_chunks, word_hashes
 
 BUCKET_BITS, BUCKETS, MANTISSA_BITS = 7, 128, 10
 BANDS, ROWS = 32, 4
-#: Rows of a bucket compared at once in stage 5.
-BLOCK = 256
+#: Rows of a list compared at once in stage 5, and classes to a copy of a hub's set in stages 4 and 5.
+BLOCK, MEMBERS = 1024, 64
 #: The estimate is not trusted to drop pairs of sets smaller than this.
 SMALL = 32
 _EDGES = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
@@ -75,6 +79,10 @@ def estimate(matches):
     return (matches / BUCKETS - COLLISION) / (1 - COLLISION)
 
 
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def _signer(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -84,7 +92,7 @@ def _signer(k: int):
                 n, cls, regs = [], [], []
                 for s in doc_shingles(words, first, k):
                     n.append(len(s))
-                    cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    cls.append(_digest(s) if len(s) else None)
                     if len(s):
                         regs.append(sketch(s))
                 flat = registers(np.concatenate(regs)) if regs else np.zeros(0, np.uint16)
@@ -103,7 +111,8 @@ def _setter(k: int):
                 sets = list(doc_shingles(words, first, k))
                 at = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
                 values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at), pa.array(values))], ["v", "s"])
+                cls = pa.array([_digest(s) if len(s) else None for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), cls, pa.ListArray.from_arrays(pa.array(at), pa.array(values))], ["doc_id", "cls", "s"])
 
     return run
 
@@ -133,13 +142,13 @@ def _estimator(share: float):
     return run
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each cell (band, key, i, j); rows come sorted by cell."""
+def _groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of each group, which come together."""
     key, held = None, []
     for b in batches:
         if not b.num_rows:
             continue
-        cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("band", "key", "i", "j")]
+        cols = [b.column(c).to_numpy(zero_copy_only=False) for c in by]
         change = np.zeros(b.num_rows, bool)
         change[0] = True
         for c in cols:
@@ -156,83 +165,146 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-class _Cell:
-    """Candidate pairs of one cell: minors against members of other components."""
+def _against_hubs(batches, found):
+    """Calls ``found(hub, its set, v, set)`` for each member; rows come sorted by (hub, part, kind, v), the hub's set first."""
+    hub, base, last = None, None, None
+    for b in batches:
+        hubs, kinds, vs = (b.column(c).to_numpy() for c in ("hub", "kind", "v"))
+        sets = b.column("s")
+        values, off = sets.values.to_numpy(zero_copy_only=False).view(np.uint64), sets.offsets.to_numpy()
+        for r in range(b.num_rows):
+            s = values[off[r] : off[r + 1]]
+            if kinds[r] == 0:
+                hub, base, last = hubs[r], s.copy(), None
+            elif hub == hubs[r] and vs[r] != last:  # repeated rows of a document come once
+                last = vs[r]
+                found(hub, base, last, s)
+        yield b.num_rows
+
+
+def _star_links(per_cent: int):
+    def run(batches):
+        links: list[tuple[int, int]] = []
 
-    def __init__(self, rows: pa.Table, share: float):
-        self.share, self.least = share, estimate(_limit(share))
-        self.band = rows["band"][0].as_py()
-        self.v, self.n, self.shared, self.label, minor = (rows[c].to_numpy() for c in ("v", "n", "shared", "label", "minor"))
-        self.low, self.high = np.flatnonzero(minor), np.flatnonzero(~minor)
-        self.lanes = rows["bands"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, BANDS)
+        def found(hub, base, v, s):
+            both = len(np.intersect1d(base, s, assume_unique=True))
+            if both and 100 * both >= per_cent * (len(base) + len(s) - both):
+                links.append((min(hub, v), max(hub, v)))
 
-    def of(self, q: int, labels: np.ndarray) -> np.ndarray:
-        """Members that minor ``q`` may be linked with, the likeliest first; each pair only in its first common band."""
-        high, share = self.high, self.share
-        # what a pair can share at most, and whether that is enough
-        most = np.minimum(self.shared[high], self.shared[q])
-        may = high[(labels[high] != labels[q]) & (most >= share * (self.n[high] + self.n[q] - most) - 1e-9)]
-        if not len(may):
-            return may
-        common = self.lanes[may] == self.lanes[q]
-        may = may[common.argmax(axis=1) == self.band]
-        same = (self.lanes[may].view(np.uint16) == self.lanes[q].view(np.uint16)).sum(axis=1)
-        ok = (estimate(same) >= self.least) | (np.minimum(self.n[may], self.n[q]) < SMALL)
-        return may[ok][np.argsort(-same[ok], kind="stable")]
+        for _ in _against_hubs(batches, found):
+            if links:
+                a, b = zip(*links, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                links.clear()
 
+    return run
 
-def _candidates(share: float):
-    """Keeps the rows of cells that have a candidate pair."""
 
-    def run(batches):
-        for rows in _cells(batches):
-            c = _Cell(rows, share)
-            hit = np.zeros(len(c.v), bool)
-            for q in c.low:
-                found = c.of(q, c.label)
-                hit[found] = True
-                hit[q] |= bool(len(found))
-            if hit.any():
-                yield from rows.filter(pa.array(hit)).combine_chunks().to_batches()
+def _differences(batches):
+    """``(hub, v, n, d)``: each member's set xor its hub's."""
+    rows: list[tuple] = []
 
-    return run
+    def found(hub, base, v, s):
+        rows.append((hub, v, len(s), np.setxor1d(base, s, assume_unique=True).view(np.int64)))
+
+    for _ in _against_hubs(batches, found):
+        if rows:
+            hub, v, n, d = zip(*rows, strict=True)
+            at = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in d]))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(hub, pa.int64()), pa.array(v, pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(at, pa.array(np.concatenate(d)))], ["hub", "v", "n", "d"])
+            rows.clear()
 
 
-def _joiner(share: float, per_cent: int):
-    """Confirms candidate pairs on full sets until the cell's components are final; yields the labels of components that are one."""
+def _list_links(per_cent: int):
+    """Links between the components of a list (hub, x), block (i, j): ``low`` rows against all. Yields components that are one."""
 
     def run(batches):
-        for rows in _cells(batches):
-            c = _Cell(rows, share)
-            sets = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in rows["s"].combine_chunks()]
-            labels, found = c.label.copy(), []  # found: labels, not vertices
-            for q in c.low:
-                for x in c.of(q, labels):
-                    if labels[x] != labels[q]:
-                        both = len(np.intersect1d(sets[q], sets[x], assume_unique=True))
-                        if both and 100 * both >= per_cent * (len(sets[q]) + len(sets[x]) - both):
-                            found.append((c.label[q], c.label[x]))
-                            labels[labels == labels[x]] = labels[q]
-            if found:
-                a, b = zip(*found, strict=True)
+        for rows in _groups(batches, ("hub", "x", "i", "j")):
+            n, d, label, low = (rows[c].to_numpy() for c in ("n", "d", "label", "low"))
+            live = rows["live"].combine_chunks()
+            values, off = live.values.to_numpy(zero_copy_only=False), live.offsets.to_numpy()
+            size = np.diff(off)
+            of = np.repeat(np.arange(len(n)), size)
+            values = values[off[0] : off[-1]]
+            off = off - off[0]
+            # members of the list, sorted, with their rows: which rows share a member is found by search
+            order = np.argsort(values, kind="stable")
+            member, owner = values[order], of[order]
+            now, out = label.copy(), []
+            for q in np.flatnonzero(low):
+                mine = values[off[q] : off[q + 1]]
+                x, y = np.searchsorted(member, mine, "left"), np.searchsorted(member, mine, "right")
+                at = np.repeat(x, y - x) + np.arange((y - x).sum()) - np.repeat(np.cumsum(y - x) - (y - x), y - x)
+                shared = np.bincount(owner[at], minlength=len(n))
+                # |A xor B| = d + e - 2 shared, |A and B| = (a + b - |A xor B|) / 2
+                both = (n + n[q] - (d + d[q] - 2 * shared)) // 2
+                for k in np.flatnonzero((now != now[q]) & (both > 0) & (100 * both >= per_cent * (n + n[q] - both))):
+                    if now[k] != now[q]:
+                        out.append((label[q], label[k]))
+                        now[now == now[k]] = now[q]
+            if out:
+                a, b = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def _sets(docs: DataFrame, need: DataFrame, k: int) -> DataFrame:
-    """``(v, s)``: the sorted sets of the documents in ``need (v)``."""
-    need = materialize(need.distinct(), "need")
-    return materialize(docs.join(sized_broadcast(need), docs["doc_id"] == need["v"], "left_semi").mapInArrow(_setter(k), "v long, s array<long>"), "sets")
-
-
-def _confirm(sets: DataFrame, pairs: DataFrame, per_cent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
-    a = sets.select(F.col("v").alias("a"), F.col("s").alias("sa"))
-    b = sets.select(F.col("v").alias("b"), F.col("s").alias("sb"))
-    inter = F.size(F.array_intersect("sa", "sb"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", inter.alias("x"), (F.size("sa") + F.size("sb")).alias("y"))
-    return both.where((F.col("x") * 100) >= (F.col("y") - F.col("x")) * per_cent).where("x > 0").select("a", "b").distinct()
+def _vertex(doc_id: str, cls: str, shared: str) -> Column:
+    """A class's vertex: its smallest doc_id, or, where several classes have that one, a number beyond all ids."""
+    return F.when(F.col(shared).isNull(), F.col(doc_id)).otherwise(F.xxhash64(cls).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62))
+
+
+def _sets(docs: DataFrame, shared: DataFrame, need: DataFrame, k: int) -> DataFrame:
+    """``(v, s)``: the sorted sets of the classes in ``need (v)``."""
+    need = materialize(need.unionByName(shared.select(F.col("shared").alias("v"))).distinct(), "need")
+    sets = docs.join(sized_broadcast(need), docs["doc_id"] == need["v"], "left_semi").mapInArrow(_setter(k), "doc_id long, cls binary, s array<long>")
+    sets = sets.where("cls is not null").join(sized_broadcast(shared), F.col("doc_id") == F.col("shared"), "left")
+    return materialize(sets.select(_vertex("doc_id", "cls", "shared").alias("v"), "s"), "sets")
+
+
+def _by_hub(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members of ``pairs (hub, v)`` with their sets, ``MEMBERS`` to a copy of the hub's set, which comes first."""
+    parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
+    members = pairs.join(parts, "hub").select("hub", F.pmod(F.xxhash64("v"), "parts").alias("part"), F.lit(1).alias("kind"), "v")
+    hubs = parts.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("hub").alias("v"))
+    return members.unionByName(hubs).join(sets, "v").repartition("hub", "part").sortWithinPartitions("hub", "part", "kind", "v")
+
+
+def _inside(docs: DataFrame, shared: DataFrame, pairs: DataFrame, k: int, per_cent: int) -> DataFrame:
+    """Stage 5: labels ``(a, b)`` of components that a link joins, from ``pairs (hub, v, label)`` of mixed buckets."""
+    sets = _sets(docs, shared, pairs.select(F.col("hub").alias("v")).union(pairs.select("v")), k)
+    diff = materialize(_by_hub(pairs.select("hub", "v"), sets).mapInArrow(_differences, "hub long, v long, n long, d array<long>"), "differences")
+    diff = diff.join(pairs, ["hub", "v"]).withColumn("size", F.size("d").cast("long"))
+    # the largest |A xor B| of a link: (100 - p) / (100 + p) of |A| + |B|, with |B| <= 100 / p * |A|
+    widest = F.floor(F.col("n") * (100 - per_cent) / per_cent + 1e-9).cast("long")
+    diff = diff.withColumn("least", F.greatest(F.lit(1), F.col("size") - widest)).withColumn("first", F.least("size", widest + 1))
+    each = diff.select("hub", "v", "label", F.explode("d").alias("x"))
+    lists = each.groupBy("hub", "x").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    live = each.select("hub", "v", "x").join(lists.select("hub", "x", "m"), ["hub", "x"])
+    live = live.groupBy("hub", "v").agg(F.array_sort(F.collect_list(F.struct("m", "x"))).alias("live"))
+    live = materialize(diff.drop("d").join(live, ["hub", "v"]).where(F.size("live") >= F.col("least")), "live")
+    # members that aren't live come first in the order; of the first members so many are left for live ones
+    rows = live.withColumn("room", (F.col("first") - F.col("size") + F.size("live")).cast("int")).where("room > 0")
+    own = F.transform("live", lambda z: z["x"])
+    rows = rows.select("hub", "v", "n", F.col("size").alias("d"), "label", own.alias("live"), "room")
+    # up to BLOCK members of a hub are one list; lists of single members are for larger ones
+    many = materialize(rows.groupBy("hub").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK).select("hub"), "many")
+    many = sized_broadcast(many)
+    few = rows.join(many, "hub", "left_anti").drop("room").withColumn("x", F.lit(0).cast("long"))
+    rows = few.unionByName(rows.join(many, "hub", "left_semi").withColumn("x", F.explode(F.slice("live", F.lit(1), F.col("room")))).drop("room"))
+    tally = rows.groupBy("hub", "x", "label").agg(F.count("*").alias("c"))
+    cells = tally.groupBy("hub", "x").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.max("c").alias("big"), F.sum("c").alias("m"), F.count("*").alias("kinds")).where("kinds > 1")
+    cells = cells.select("hub", "x", "major", F.ceil((F.col("m") - F.col("big")) / BLOCK).alias("ni"), F.ceil(F.col("m") / BLOCK).alias("nj"))
+    rows = rows.join(cells, ["hub", "x"]).withColumn("low", F.col("label") != F.col("major"))
+    keep = ["hub", "x", "v", "n", "d", "label", "live"]
+    spread = lambda n, salt: F.pmod(F.xxhash64("v", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+    small = rows.where("ni = 1 and nj = 1").select(*keep, "low", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    large = rows.where("ni > 1 or nj > 1")
+    high = large.select(*keep, F.lit(False).alias("low"), every("ni").alias("i"), spread("nj", 1).alias("j"))
+    low = large.where("low").select(*keep, "low", every("nj").alias("j"), spread("ni", 2).alias("i"))
+    by = ["hub", "x", "i", "j"]
+    return small.unionByName(high).unionByName(low).repartition(*by).sortWithinPartitions(*by).mapInArrow(_list_links(per_cent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,7 +313,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, id_col: str
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sigs = materialize(docs.mapInArrow(_signer(k), "doc_id long, n long, cls binary, bands array<long>"), "signatures")
     real = sigs.where("cls is not null and doc_id is not null")
-    cls = materialize(real.groupBy("cls").agg(F.min("doc_id").alias("v"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    cls = materialize(real.groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    shared = materialize(cls.groupBy(F.col("least").alias("shared")).agg(F.count("*").alias("c")).where("c > 1").select("shared"), "shared")
+    cls = cls.join(sized_broadcast(shared), F.col("least") == F.col("shared"), "left").withColumn("v", _vertex("least", "cls", "shared"))
     banded = cls.select("v", "n", F.posexplode("bands").alias("band", "key"))
     full = banded.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1")
     multi = materialize(banded.join(full, ["band", "key"]).select("band", "key", "v", "n", "m"), "buckets")
@@ -254,48 +328,35 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, id_col: str
         b = regs.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("bands").alias("rb"))
         return pairs.join(a, "a").join(b, "b")
 
-    star = multi.join(hubs, ["band", "key"]).where("hub <> v").select(F.least("hub", "v").alias("a"), F.greatest("hub", "v").alias("b")).distinct()
-    first = materialize(sides(star).mapInArrow(_estimator(share), "a long, b long").distinct(), "candidates")
-    ends = lambda p: p.select(F.col("a").alias("v")).union(p.select(F.col("b").alias("v")))
-    links = materialize(_confirm(_sets(docs, ends(first), k), first, per_cent), "links")
+    hubs = materialize(hubs, "hubs")
+    star = materialize(multi.join(hubs, ["band", "key"]).where("hub <> v").select("hub", F.col("v").alias("b")).distinct(), "star")
+    near = sides(star.withColumnRenamed("hub", "a")).mapInArrow(_estimator(share), "a long, b long")
+    near = materialize(near.select(F.col("a").alias("hub"), F.col("b").alias("v")), "candidates")
+    ends = lambda p: p.select(F.col("hub").alias("v")).union(p.select("v"))
+    sets = _sets(docs, shared, ends(near), k)
+    links = materialize(_by_hub(near, sets).mapInArrow(_star_links(per_cent), "a long, b long").distinct(), "links")
 
     members = materialize(real.join(cls.select("cls", "v"), "cls").select("doc_id", "v"), "members")
     bridge = members.groupBy("doc_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi")
     bridges = members.join(bridge, "doc_id").select(F.col("lo").alias("a"), F.col("v").alias("b"))
     # a doc_id with several texts may not be its own class's smallest id: tie its vertices together
-    links = links.unionByName(bridges.where("a <> b").distinct())
+    own = cls.where("shared is not null").select(F.col("least").alias("a"), F.col("v").alias("b"))
+    links = links.unionByName(bridges.where("a <> b").distinct()).unionByName(own)
     labels = components(links)
 
-    rest = multi.where("m > 2").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    tally = rest.groupBy("band", "key", "label").agg(F.count("*").alias("c"))
-    mixed = tally.groupBy("band", "key").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.max("c").alias("big"), F.sum("c").alias("size"), F.count("*").alias("kinds")).where("kinds > 1")
-    mixed = mixed.select("band", "key", "major", F.ceil((F.col("size") - F.col("big")) / BLOCK).alias("ni"), F.ceil(F.col("size") / BLOCK).alias("nj"))
-    mixed = materialize(mixed, "mixed")
-    if not mixed.isEmpty():
-        inside = rest.join(mixed, ["band", "key"]).withColumn("minor", F.col("label") != F.col("major"))
-        spread = lambda n, salt: F.pmod(F.xxhash64("v", F.lit(salt)), F.col(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
-        sets = _sets(docs, inside.select("v"), k)
-        sized = sets.select("v", F.size("s").cast("long").alias("n"), "s")
-        lone = sized.select(F.struct("v", "n").alias("of"), F.explode("s").alias("h")).groupBy("h").agg(F.min("of").alias("of"), F.count("*").alias("c")).where("c = 1")
-        # where a doc_id has two sets of one size, they aren't told apart: nothing is ruled out
-        twice = sized.groupBy("v", "n").agg(F.count("*").alias("c")).where("c > 1")
-        lone = materialize(lone.groupBy("of.v", "of.n").agg(F.count("*").alias("lone")).join(twice, ["v", "n"], "left_anti"), "lone")
-        keep = ["band", "key", "v", "n", "label"]
-        high = inside.select(*keep, F.lit(False).alias("minor"), every("ni").alias("i"), spread("nj", 1).alias("j"))
-        low = inside.where("minor").select(*keep, F.lit(True).alias("minor"), every("nj").alias("j"), spread("ni", 2).alias("i"))
-        facts = regs.join(lone, ["v", "n"], "left").select("v", "n", "bands", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("shared"))
-        by = ["band", "key", "i", "j"]
-        cells = high.unionByName(low).join(facts, ["v", "n"]).repartition(*by).sortWithinPartitions(*by)
-        cells = materialize(cells.mapInArrow(_candidates(share), cells.schema), "candidates")
-        if not cells.isEmpty():
-            cells = cells.join(sized.select("v", "n", "s"), ["v", "n"]).repartition(*by).sortWithinPartitions(*by)
-            joined = materialize(cells.mapInArrow(_joiner(share, per_cent), "a long, b long").distinct(), "joined")
-            if not joined.isEmpty():
-                merged = components(joined).select(F.col("v").alias("label"), F.col("label").alias("root"))
-                # a class without links is a component of its own
-                alone = merged.join(labels, "label", "left_anti").select(F.col("label").alias("v"), F.col("root").alias("label"))
-                labels = labels.join(merged, "label", "left").select("v", F.coalesce("root", "label").alias("label")).unionByName(alone)
+    labelled = multi.where("m > 2").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    mixed = labelled.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band", "key")
+    # a table by itself, so that the join with a hot bucket's rows can be split
+    mixed = materialize(mixed.join(hubs, ["band", "key"]), "buckets")
+    pairs = labelled.join(sized_broadcast(mixed), ["band", "key"]).where("hub <> v").select("hub", "v", "label").distinct()
+    pairs = materialize(pairs, "mixed")
+    if not pairs.isEmpty():
+        joined = materialize(_inside(docs, shared, pairs, k, per_cent), "joined")
+        if not joined.isEmpty():
+            merged = components(joined).select(F.col("v").alias("label"), F.col("label").alias("root"))
+            # a class without links is a component of its own
+            alone = merged.join(labels, "label", "left_anti").select(F.col("label").alias("v"), F.col("root").alias("label"))
+            labels = labels.join(merged, "label", "left").select("v", F.coalesce("root", "label").alias("label")).unionByName(alone)
 
     top = members.groupBy("doc_id").agg(F.min("v").alias("v")).join(labels, "v", "left").select("doc_id", F.coalesce("label", "v").alias("component_id"))
     out = sigs.select("doc_id", F.col("n").alias("n_shingles")).join(top, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
