@@ -105,78 +105,85 @@ def test_suffix_tree(docs, empty):
     assert suffix_tree.score_texts(empty, F.lit(True)).count() == 0
 
 
-def brute_tree(texts, depth, least):
-    """log10 probability of each token of each text, by dictionaries over the symbols themselves."""
+def brute_tree(texts, depth, head):
+    """log10 probability of each text, by dictionaries over the symbols themselves; contexts have the nearest word first."""
     seqs = [["<end>", *t, "<end>"] for t in texts]
-    grams = Counter(tuple(s[i - d : i + 1]) for s in seqs for i in range(1, len(s)) for d in range(min(depth, i) + 1))
-    single = {g: c for g, c in grams.items() if len(g) == 1}
-    total, kinds = sum(single.values()), len(single)
-    grams = {g: c for g, c in grams.items() if c >= max(2, least * total)}
-    under = {}
-    for g in grams:
-        if len(g) > 1:
-            under.setdefault(g[:-1], []).append(g)
+    root = Counter(x for s in seqs for x in s[1:])
+    total, kinds = sum(root.values()), len(root)
+    follow = {}
+    for s in seqs:
+        for i in range(1, len(s)):
+            for k in range(1, min(depth, i) + 1):
+                follow.setdefault(tuple(s[i - k : i][::-1]), Counter())[s[i]] += 1
+    # whole classes of the most frequent words
+    sized = sorted(((math.floor(math.log2(c) * 16), w) for w, c in root.items() if w != "<end>"), reverse=True)
+    common = {"<end>"}
+    for size in sorted({x for x, _ in sized}, reverse=True):
+        here = [w for x, w in sized if x == size]
+        if len(common) - 1 + len(here) > head:
+            break
+        common |= set(here)
 
     def base(w):
-        return math.log10((single.get((w,), 0) + 0.1) / (total + 0.1 * (kinds + 1)))
-
-    def prob(ctx, w):
-        if not ctx:
-            return 10 ** base(w)
-        if ctx not in under:
-            return prob(ctx[1:], w)
-        t, k, n = len(under[ctx]), sum(grams[g] for g in under[ctx]), grams[ctx]
-        return ((grams[(*ctx, w)] if (*ctx, w) in grams else 0) + (t + n - k) * prob(ctx[1:], w)) / (n + t)
-
-    kept = set()
-    for ctx, gs in under.items():
-        t, k, n = len(gs), sum(grams[g] for g in gs), grams[ctx]
-        gain = sum(grams[g] * math.log(prob(ctx, g[-1]) / prob(ctx[1:], g[-1])) for g in gs)
-        gain += (n - k) * math.log((t + n - k) / (n + t)) if n > k else 0
-        if gain > 0.5 * t * math.log(n):
-            kept |= {ctx[x:] for x in range(len(ctx))}
-
-    def state(before):
-        out = ()
-        while len(out) < len(before) and before[len(before) - len(out) - 1 :] in kept:
-            out = before[len(before) - len(out) - 1 :]
-        return out
+        return (root.get(w, 0) + 0.1) / (total + 0.1 * (kinds + 1))
+
+    kept = {}
+    for ctx, c in follow.items():
+        n, entries = sum(c.values()), {w: x for w, x in c.items() if x >= 2}
+        up = follow[ctx[:-1]] if len(ctx) > 1 else {w: x for w, x in root.items() if w in common}
+        up_n = sum(up.values()) if len(ctx) > 1 else total
+        known = {w: x for w, x in entries.items() if w in up}
+        k, up_k = sum(known.values()), sum(up[w] for w in known)
+        gain = sum(x * math.log(x / n / (up[w] / up_n)) for w, x in known.items()) + ((n - k) * math.log((n - k) / n / ((up_n - up_k) / up_n)) if n > k else 0)
+        if entries and gain > 0.5 * len(entries) * math.log(n):
+            kept[ctx] = (n, entries)
+
+    def prob(before, w):
+        p = base(w)
+        for k in range(1, len(before) + 1):
+            if before[:k] in kept:
+                n, entries = kept[before[:k]]
+                p = (entries.get(w, 0) + (len(entries) + n - sum(entries.values())) * p) / (n + len(entries))
+        return p
 
     def score(t):
         s = ["<end>", *t, "<end>"]
-        return sum(math.log10(prob(state(tuple(s[max(0, i - depth) : i])), s[i])) for i in range(1, len(s)))
+        return sum(math.log10(prob(tuple(s[max(0, i - depth) : i][::-1]), s[i])) for i in range(1, len(s)))
 
-    return score, base, prob, kept, [g[0] for g in single]
+    return score, prob, kept, list(root)
 
 
-@pytest.mark.parametrize("depth,least", [(2, 2e-7), (3, 2e-7), (2, 1e-4)])
-def test_suffix_tree_scores(docs, depth, least):
+@pytest.mark.parametrize("depth,head,split", [(2, 1000, 10**6), (5, 1000, 10**6), (5, 12, 10**6), (5, 1000, 100), (4, 12, 20), (1, 1000, 50)])
+def test_suffix_tree_scores(spark, docs, depth, head, split):
+    rnd = random.Random(2)
+    echoes = " ".join(f"{w} m m m m {w}" for w in rnd.choices(["ka", "lo", "mi"], k=300))  # the word five places back decides
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, echoes) for i in range(4)], "doc_id long, text string"))
     held = [(i, t.encode().lower().split()) for i, t in collected(docs)]
-    score, _, prob, kept, vocabulary = brute_tree([w for i, w in held if i is not None and zlib.crc32(str(i).encode()) % 10], depth, least)
-    assert {len(c) for c in kept} >= {1, 2}
+    score, prob, kept, vocabulary = brute_tree([w for i, w in held if i is not None and zlib.crc32(str(i).encode()) % 10], depth, head)
+    assert {len(c) for c in kept} == set(range(1, depth + 1))
     for ctx in sorted(kept, key=str)[:40]:
         assert abs(sum(prob(ctx, w) for w in vocabulary) + prob(ctx, "never seen") - 1) < 1e-9
-    got = suffix_tree.score_texts(docs, suffix_tree.fold(F.col("doc_id")) != 0, depth=depth, least=least, head=20).collect()
+    got = suffix_tree.score_texts(docs, suffix_tree.fold(F.col("doc_id")) != 0, depth=depth, head=head, split=split).collect()
     want = sorted((i if i is not None else -1, score(w)) for i, w in held)
     got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["score"]) for r in got)
     assert [g[0] for g in got] == [w[0] for w in want]
     assert np.allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-5, atol=1e-3)
 
 
-@pytest.mark.parametrize("head", [1, 200_000])  # the first sends n-grams through the shuffles
-def test_suffix_tree_keeps_rare_ngrams_of_large_corpora(spark, head):
-    rows = [(i, "a " * 800_000) for i in range(20)] + [(20, "x y"), (21, "x y"), (22, "y x q"), (23, "x z"), (24, "x y")]
+@pytest.mark.parametrize("split", [1_500_000, 50_000])  # the second deals the common context to several shards
+def test_suffix_tree_keeps_rare_ngrams_of_large_corpora(spark, split):
+    rows = [(i, "a " * 200_000) for i in range(20)] + [(20, "x y"), (21, "x y"), (22, "y x q"), (23, "x z"), (24, "x y")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r for r in suffix_tree.score_texts(d, F.col("doc_id") < 24, head=head).collect()}
+    got = {r["doc_id"]: r for r in suffix_tree.score_texts(d, F.col("doc_id") < 24, split=split).collect()}
     assert got[24]["score"] > got[24]["base_score"] + 1 and got[24]["score"] == pytest.approx(got[20]["score"])
 
 
-def test_suffix_tree_packs_codes():
-    code = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64)) << np.uint64(1)
-    n = np.arange(1, 1001)
-    levels = [(code, n), (code[:0], n[:0]), (code[:1], n[:1])]
-    for got, want in zip(suffix_tree._unpack(suffix_tree._pack(levels), 2), levels, strict=True):
-        assert all((g == w).all() and len(g) == len(w) for g, w in zip(got, want, strict=True))
+def test_suffix_tree_packs_windows():
+    rnd = np.random.default_rng(1)
+    columns = [rnd.integers(0, 1 << 24, 1000) for _ in range(3)]
+    rare, text = [rnd.integers(1, 1 << 63, 7, dtype=np.uint64)], rnd.integers(0, 1 << 16, 1000)
+    got = suffix_tree._unpack(suffix_tree._pack(columns, rare, text), 2)
+    assert all((g == w).all() for g, w in zip([*got[0], got[1], got[2]], [*columns, text, rare[0]], strict=True))
 
 
 def test_token_counts(docs, empty):
