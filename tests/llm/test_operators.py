@@ -180,10 +180,10 @@ def test_suffix_tree_keeps_rare_ngrams_of_large_corpora(spark, split):
 
 def test_suffix_tree_packs_windows():
     rnd = np.random.default_rng(1)
-    columns = [rnd.integers(0, 1 << 24, 1000) for _ in range(3)]
-    rare, text = [rnd.integers(1, 1 << 63, 7, dtype=np.uint64)], rnd.integers(0, 1 << 16, 1000)
+    columns = [rnd.integers(0, 1 << 24, 1000, dtype=np.int32) for _ in range(3)]
+    rare, text = [rnd.integers(1, 1 << 48, 5, dtype=np.uint64), np.zeros(0, np.uint64), rnd.integers(1, 1 << 63, 7, dtype=np.uint64)], rnd.integers(0, 1 << 16, 1000)
     got = suffix_tree._unpack(suffix_tree._pack(columns, rare, text), 2)
-    assert all((g == w).all() for g, w in zip([*got[0], got[1], got[2]], [*columns, text, rare[0]], strict=True))
+    assert all((g == w).all() for g, w in zip([*got[0], got[1], got[2]], [*columns, text, np.concatenate(rare)], strict=True))
 
 
 def test_token_counts(docs, empty):
