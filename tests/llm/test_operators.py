@@ -12,6 +12,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from secspark.llm import exact_dedup, media, mixing, near_dedup, packing, pii, quality, suffix_tree, token_counts, warc
@@ -90,6 +91,87 @@ def test_pii(docs, empty):
     assert any("[EMAIL]" in t and "@" not in t and "[PHONE]" in t for t in red)
 
 
+def side(c):
+    return 0 if not c else 1 if c in "\t\n\x0b\x0c\r " else 2 if c in "0123456789" else 3 if c.isascii() and c.isalpha() else 4
+
+
+def brute_candidates(t):
+    """(kind, generator, start, end, evidence, bins) of all generators' matches."""
+    out = []
+    for kind, gen, _, pattern in pii.GENERATORS:
+        for m in regex.finditer(pattern, t):
+            x, before, after = m[0], t[: m.start()], t[m.end() :]
+            # the pieces beside a match end at its neighbours
+            last = max([e for k, g, _, e, *_ in out if (k, g) == (kind, gen)], default=0)
+            near = before[last:][-16:]
+            follow = next((n.start() for n in [regex.search(pattern, t, pos=m.end())] if n), len(t))
+            d = re.sub("[^0-9]", "", x)
+            octets = all(len(o.lstrip("0")) < 4 and int(o or 256) <= 255 for o in re.split("[^0-9]+", x))
+            check = 13 <= len(d) <= 19 and luhn(d)
+            if kind == 1:
+                y = re.search("[A-Za-z]{2,10}$", x) is not None
+            elif kind == 2:
+                y = octets
+            elif kind == 3:
+                y = check
+            else:
+                y = 8 <= len(d) <= 15 and d[0] != "0" if x[0] == "+" else re.match("[2-9][0-9]{2}[2-9]", d) is not None
+            n = len(d)
+            digits = [n == 0, n < 8, n < 10, n == 10, n < 13, n < 16, n == 16, n < 20, True].index(True)
+            hint = 1 if re.search(r"(?i)(?:token|secret|key|hash|sha|id)\W*$", near) else 2 if re.search(r"(?i)(?:card|visa|phone|tel|call|mail|contact|addr)\W*$", near) else 0
+            bins = (kind, digits, gen, side(near[-1:]), side(t[m.end() : min(follow, m.end() + 1)]), int(re.search("[0-9][^0-9.@]+[0-9]", x) is not None), int(x[0] in "+("), hint)
+            out.append((kind, gen, m.start(), m.end(), y, bins))
+    return out
+
+
+def test_pii_added_spans_and_thresholds(spark):
+    rnd = random.Random(12)
+    kinds = ["a.b{n}@mail{n}.example.com", "jo{n} [at] site [dot] org", "x{n} (at) y.net", "10.{n}.2.3", "10[.]2[.]3[.]{n}", "4111 1111 1111 1111", "3782 822463 10005", "+1 743 555 38{n}", "(743) 555-38{n}", "143-155-38{n}", "call 743.555.38{n}", "999.1.1.{n}", "1234567890123456", "token 4111111111111111"]
+    texts = [" ".join(rnd.choice([rnd.choice(WORDS), rnd.choice(kinds).format(n=rnd.randrange(10, 99))]) for _ in range(rnd.randrange(30))) for _ in range(300)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    rows = pii.candidates(d, keep_text=True).cache()
+    halves, cells = {}, [Counter(), Counter()]
+    for r in rows.collect():
+        want = brute_candidates(r["t"])
+        assert [(c["k"], c["g"], c["s"], c["e"], c["y"], tuple(c["f"])) for c in r["c"]] == want
+        halves[r["t"]] = r["half"]
+        for *_, y, bins in want:
+            cells[r["half"]][bins, y] += 1
+    got = pii.count_cells(rows)
+    for half in (0, 1):
+        assert {f: (p, n) for f, p, n in got[half]} == {f: (cells[half][f, True], cells[half][f, False]) for f, _ in cells[half]}
+    trees = pii.fit_trees(got[0])
+    score = lambda f: sum(pii.tree_value(t, f) for t in trees)
+    floor = pii.thresholds(got[1], trees, 0.99)
+    for kind in range(1, 5):  # the lowest score at which the other half's candidates from there up are precise
+        best = None
+        for s in sorted({score(f) for f, *_ in got[1] if f[0] == kind}, reverse=True):
+            above = [(p, n) for f, p, n in got[1] if f[0] == kind and score(f) >= s - 1e-9]
+            pos, neg = sum(p for p, _ in above), sum(n for _, n in above)
+            if pos and pos / (pos + neg) >= 0.99:
+                best = s
+        assert (kind in floor) == (best is not None) and (best is None or abs(floor[kind] - best) < 1e-5)
+    found = pii.detect(d, keep_text=True).select("t", F.expr(pii._listed("found")).alias("f")).collect()
+    more = 0
+    for r in found:
+        base = [x.split(":") for x in base_spans(r["t"])]
+        taken = [(pii.KINDS.index(k) + 1, int(s), int(e)) for k, s, e in base]
+        end = 0
+        for s, e, k in sorted((s, e, k) for k, g, s, e, _, f in brute_candidates(r["t"]) if g > 1 and k in floor and score(f) >= floor[k]):
+            if s >= end and not any(b[1] < e and s < b[2] for b in taken[: len(base)]):
+                taken.append((k, s, e))
+                end, more = e, more + 1
+        assert r["f"] == ",".join(f"{pii.KINDS[k - 1]}:{s}:{e}" for k, s, e in sorted(taken))
+    assert more > 50
+
+
+def test_pii_of_many_addresses_takes_time_in_proportion(spark):
+    d = spark.createDataFrame([(1, "ab@cd.ef jo (at) x.org " * 50_000)], "doc_id long, text string")
+    begun = time.perf_counter()
+    r = pii.detect(d).select(F.size("base").alias("b"), F.size("found").alias("f"), F.element_at("base", -1)["s"].alias("s")).first()
+    assert (r["b"], r["s"]) == (50_000, 23 * 49_999) and time.perf_counter() - begun < 60
+
+
 def test_suffix_tree(docs, empty):
     out = suffix_tree.score_texts(docs, suffix_tree.fold(F.col("doc_id")) != 0, head=20).collect()
     tokens = [(i, t.encode().lower().split() + [b"\n"]) for i, t in collected(docs)]
