@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables with nulls, empty and long texts, ties, repeats and extra columns."""
 
 import base64
+import gzip
 import hashlib
 import math
 import random
@@ -386,6 +387,58 @@ def test_warc(spark):
     assert warc.archive_round_trip(pages.where("false")).count() == 0
 
 
+def test_warc_files(spark, tmp_path):
+    html = [f"<p>{i % 7}</p>" + "é" * i for i in range(40)] + ["same"] * 10 + ["x" * 17_000_000]
+    rows = [(i, f"http://h/{i}", h) for i, h in enumerate(html)] + [(45, "http://h/45", "same")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").select("page_id", "url", F.col("html").cast("binary").alias("payload")).repartition(3)
+    warc.write_archives(pages, f"file://{tmp_path}/w")
+    files = sorted((tmp_path / "w").glob("*.warc.gz"))
+    ids, refers = [], []
+    assert len(files) == 3
+    for f in files:
+        with gzip.open(f) as g:
+            data = g.read()
+        at, first = 0, True
+        while at < len(data):  # by hand: version, header, block, two line breaks
+            head, _, rest = data[at:].partition(b"\r\n\r\n")
+            fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+            n = int(fields["Content-Length"])
+            assert head.startswith(b"WARC/1.0\r\n") and rest[n : n + 4] == b"\r\n\r\n" and first == (fields["WARC-Type"] == "warcinfo")
+            if first:
+                info = fields["WARC-Record-ID"]
+            else:
+                assert fields["WARC-Warcinfo-ID"] == info and rest.startswith(b"HTTP/1.1 200 OK\r\n")
+                refers += [fields["WARC-Refers-To"]] if fields["WARC-Type"] == "revisit" else []
+            ids.append(fields["WARC-Record-ID"])
+            at, first = at + len(head) + 4 + n + 4, False
+        # a member for each record
+        raw, members = f.read_bytes(), 0
+        while raw:
+            z = zlib.decompressobj(31)
+            z.decompress(raw)
+            raw, members = z.unused_data, members + 1
+        assert members >= data.count(b"WARC/1.0\r\n")
+    assert len(set(ids)) == len(ids) == len(rows) + 3 and set(refers) <= set(ids) and len(refers) == 10
+
+
+def test_warc_of_others(spark, tmp_path):
+    block = b"HTTP/1.0 200 OK\r\nServer: x\r\n\r\n<p>WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\xff</p>"
+    def record(kind, extra, body):
+        return b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nWARC-Record-ID: <urn:uuid:1>\r\n" + extra + b"Content-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+
+    digest = base64.b32encode(hashlib.sha1(block.split(b"\r\n\r\n", 1)[1]).digest())
+    records = [record(b"warcinfo", b"", b"software: x"), record(b"request", b"Content-Type: application/http; msgtype=request\r\n", b"GET / HTTP/1.0\r\n\r\n"), record(b"response", b"WARC-Target-URI: http://a\r\nContent-Type: application/http; msgtype=response\r\nWARC-Payload-Digest: sha1:" + digest + b"\r\n", block), record(b"resource", b"WARC-Target-URI: http://b\r\n", b"")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "c.txt").write_text("not an archive")
+    got = [(r["page_id"], r["url"], r["record_type"], bytes(r["payload"]), r["payload_digest"]) for r in warc.read_archives(spark, f"file://{tmp_path}").collect()]
+    assert sorted(got) == sorted(2 * [(None, "http://a", "response", block.split(b"\r\n\r\n", 1)[1], digest.decode()), (None, "http://b", "resource", b"", base64.b32encode(hashlib.sha1(b"").digest()).decode())])
+    for bad, why in ((records[2].replace(b"Server", b"server").replace(b"abc", b"abd"), "damaged"), (records[2][:-20], "cut off")):
+        (tmp_path / "a.warc.gz").write_bytes(gzip.compress(bad))
+        with pytest.raises(Exception, match=why):
+            warc.read_archives(spark, f"file://{tmp_path}").collect()
+
+
 def test_media(docs, empty):
     got = media.read_media(media.store_media(docs)).collect()
     want = Counter((i, hashlib.sha256(media.padded(t.encode())).hexdigest(), zlib.crc32(media.padded(t.encode())[-16:])) for i, t in collected(docs))
