@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from secspark.scratch import discard, exists, materialize, remove, scratch_dir  # noqa: F401
@@ -17,6 +17,23 @@ def sized_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCA
     return F.broadcast(df) if n <= limit else df
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores added until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever their names hold."""
+    return [df["`" + c.replace("`", "``") + "`"] for c in df.columns]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,7 +2,7 @@
 
 A payload becomes a 24-bit picture 64 pixels wide (192 bytes a row): Netpbm P6 or, chosen by the payload itself, BMP.
 The encoded files are written as a binary column to the shared folder, read back, decoded to numpy arrays, area-resized
-by integral images, and turned into NPY tiles and difference hashes.
+by integral images, and turned into NPY tiles and difference hashes, which are written to the shared folder too.
 
 Cases: null text is empty and becomes one row of blanks; equal texts have equal values; repeated rows, null ids and extra
 columns change nothing; a file of another size or format raises ValueError; an empty table gives no rows.
@@ -82,14 +82,15 @@ def _edges(n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def area_resize(a: np.ndarray, h: int, w: int) -> np.ndarray:
-    """Mean over each of h x w equal areas, by an integral image that is interpolated between pixels; float64."""
+    """Mean over each of h x w equal areas, by an integral image that is interpolated between pixels; float64. Only the
+    integral's rows beside the areas' edges are made, so besides the picture it takes memory for h + 1 rows."""
     a = a if a.ndim == 3 else a[:, :, None]
-    s = np.zeros((a.shape[0] + 1, a.shape[1] + 1, a.shape[2]))
-    s[1:, 1:] = a
-    np.cumsum(s, axis=0, out=s)
-    np.cumsum(s, axis=1, out=s)
     i, f = _edges(a.shape[0], h)
-    s = s[i] + (s[i + 1] - s[i]) * f[:, None, None]
+    rows, at = np.unique(i, return_inverse=True)
+    above = np.add.reduceat(a, rows, axis=0, dtype=np.int64)
+    above = np.concatenate((np.zeros((1, *a.shape[1:]), np.int64), np.cumsum(above[:-1], axis=0)))
+    s = np.zeros((h + 1, a.shape[1] + 1, a.shape[2]))
+    np.cumsum(above[at] + a[i] * f[:, None, None], axis=1, out=s[:, 1:])
     i, f = _edges(a.shape[1], w)
     s = s[:, i] + (s[:, i + 1] - s[:, i]) * f[None, :, None]
     d = s[1:, 1:] - s[:-1, 1:] - s[1:, :-1] + s[:-1, :-1]
@@ -152,7 +153,12 @@ def read_media(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_decoder, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, dhash string, tile binary")
 
 
+def store_tiles(media: DataFrame) -> DataFrame:
+    """``read_media`` as a table in the shared folder: the NPY files are its column ``tile``, beside the difference hashes."""
+    return materialize(read_media(media), "tiles")
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = read_media(store_media(read_table(spark, sf_dir, "documents")))
+    back = store_tiles(store_media(read_table(spark, sf_dir, "documents")))
     feature = F.concat(F.lit("dhash="), F.col("dhash"), F.lit(";tile="), F.sha1("tile"))
     return back.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))

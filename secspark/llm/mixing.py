@@ -11,7 +11,8 @@ a binary tree over shards holds each source's block count, every node draws its
 hypergeometric distribution, and the leaves are exact, disjoint quotas. Blocks fill the quotas in permuted order and rows
 are ordered inside a shard by another hash. All draws are seeded, so reruns agree.
 
-Only per-source totals (and the quotas, sources times shards) reach the driver; per-block sums are prefix-summed in Spark.
+Only per-source totals (and the quotas, sources times shards) are on the driver, so sources may number about a million; up to
+200,000 are broadcast, more are joined by shuffle. Per-block sums are prefix-summed in Spark.
 
 Cases: null text counts 0 words and is never needed for a target (taken 0 words, kept or not); null sources are one
 source; repeated rows are rows of their own; extra columns are ignored; without any words all targets are 0.
@@ -25,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from secspark.llm.common import materialize, read_table
+from secspark.llm.common import columns, free_names, materialize, read_table, sized_broadcast
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Step of the permutation of blocks; coprime to any count that it doesn't divide.
@@ -92,8 +93,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, budget: float = 1.5, max_epoch
         blocks.append(n)
         plan.append((t["source"], i, words[i], float(target[i]), whole, float(target[i] - whole * words[i]), n))
     side = spark.createDataFrame(plan, "source string, sid int, source_size long, target double, whole int, rest double, blocks long")
-    # one row for each source: as small as the list of sources that the driver already holds
-    rows = rows.join(F.broadcast(side), rows["source"].eqNullSafe(side["source"])).drop(side["source"])
+    rows = rows.join(sized_broadcast(side, len(plan)), rows["source"].eqNullSafe(side["source"])).drop(side["source"])
     # the block of a row: its place in hash order; pmod by a prefix of the hash keeps neighbours together
     unit = (F.shiftrightunsigned("r", 11).cast("double")) / F.lit(float(1 << 53))
     rows = rows.withColumn("block", F.least(F.floor(unit * F.col("blocks")), F.col("blocks") - 1).cast("long"))
@@ -116,7 +116,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, budget: float = 1.5, max_epoch
     drawn = [blocks[p[1]] if p[4] else drawn.get(p[1], 0) for p in plan]
     quotas = np.cumsum(split_quotas(drawn, shards, seed), axis=1)
     deal = spark.createDataFrame([(i, n, [int(x) for x in q]) for i, (n, q) in enumerate(zip(drawn, quotas, strict=True))], "sid int, drawn long, quotas array<long>")
-    taken = taken.join(F.broadcast(deal), "sid")
+    taken = taken.join(sized_broadcast(deal, len(plan)), "sid")
     step = F.when(F.col("drawn") % PRIME == 0, 1).otherwise(PRIME)
     taken = taken.withColumn("slot", F.when(F.col("drawn") > 0, F.pmod(F.col("block") * step + F.col("sid"), F.greatest("drawn", F.lit(1)))))
     slot = F.size(F.filter("quotas", lambda q: q <= F.col("slot")))
@@ -130,16 +130,16 @@ def copy_shard(shard: Column, copy: Column, shards: int, max_epochs: int) -> Col
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", shards: int = 64, max_epochs: int = 2, **options) -> DataFrame:
     """``docs`` as mixed: rows not taken go, rows taken twice come twice; the columns stay. Each shard's rows lie together, in
-    the shard's order."""
+    the shard's order. Rows that share id and source are taken alike, as often as the most taken of them."""
     plan = mix_sources(docs, id_col=id_col, source_col=source_col, text_col=text_col, shards=shards, max_epochs=max_epochs, **options)
-    # rows that share id, source and size get the largest of their counts
-    best = F.max(F.struct("copies", "shard", "shard_order")).alias("m")
-    plan = plan.groupBy(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source")).agg(best).where("m.copies > 0")
-    both = docs.join(plan, docs[id_col].cast("long").eqNullSafe(F.col("m_id")) & docs[source_col].eqNullSafe(F.col("m_source")))
-    copies = both.select(*[docs[c] for c in docs.columns], "m", F.explode(F.sequence(F.lit(1), "m.copies")).alias("m_copy"))
-    order = F.when(F.col("m_copy") == 1, F.col("m.shard_order")).otherwise(F.xxhash64("m.shard_order", "m_copy"))
-    placed = copies.withColumn("m_shard", copy_shard(F.col("m.shard"), F.col("m_copy"), shards, max_epochs)).withColumn("m_order", order)
-    return placed.repartition("m_shard").sortWithinPartitions("m_shard", "m_order").drop("m", "m_copy", "m_shard", "m_order")
+    own_id, own_source, m, copy, shard, order = free_names(docs, "m_id", "m_source", "m", "m_copy", "m_shard", "m_order")
+    best = F.max(F.struct("copies", "shard", "shard_order")).alias(m)
+    plan = plan.groupBy(F.col("doc_id").alias(own_id), F.col("source").alias(own_source)).agg(best).where(F.col(m)["copies"] > 0)
+    both = docs.join(plan, docs[id_col].cast("long").eqNullSafe(F.col(own_id)) & docs[source_col].cast("string").eqNullSafe(F.col(own_source)))
+    copies = both.select(*columns(docs), m, F.explode(F.sequence(F.lit(1), F.col(m)["copies"])).alias(copy))
+    place = F.when(F.col(copy) == 1, F.col(m)["shard_order"]).otherwise(F.xxhash64(F.col(m)["shard_order"], copy))
+    placed = copies.withColumn(shard, copy_shard(F.col(m)["shard"], F.col(copy), shards, max_epochs)).withColumn(order, place)
+    return placed.repartition(shard).sortWithinPartitions(shard, order).drop(m, copy, shard, order)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

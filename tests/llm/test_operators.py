@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import io
 import math
 import random
 import re
@@ -443,6 +444,23 @@ def test_media(docs, empty):
     got = media.read_media(media.store_media(docs)).collect()
     want = Counter((i, hashlib.sha256(media.padded(t.encode())).hexdigest(), zlib.crc32(media.padded(t.encode())[-16:])) for i, t in collected(docs))
     assert Counter((r["doc_id"], r["payload_sha256"], r["tail_crc32"]) for r in got) == want
+    sources = {hashlib.sha256(media.padded(t.encode())).hexdigest(): media.padded(t.encode()) for _, t in collected(docs)}
+    for r in media.store_tiles(media.store_media(docs)).collect():
+        a = np.frombuffer(sources[r["payload_sha256"]], np.uint8).reshape(-1, 64, 3)
+        stored = media.encode_bmp(a) if zlib.crc32(a.tobytes()) & 1 else media.encode_ppm(a)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        tile = np.load(io.BytesIO(r["tile"]))
+
+        def area(h, w, a=a):
+            """Means of areas as products with each area's share of each row and column."""
+            share = lambda n, m: np.array([[max(0, min(i + 1, (k + 1) * n / m) - max(i, k * n / m)) for i in range(n)] for k in range(m)]) * m / n
+            return np.einsum("hi,ijc,wj->hwc", share(a.shape[0], h), a.astype(float), share(64, w), optimize=True)
+
+        assert tile.shape == (16, 16, 3) and tile.dtype == np.uint8 and np.abs(tile - area(16, 16)).max() <= 0.5 + 1e-6
+        grey = area(8, 9).mean(axis=2)
+        near_tie = np.abs(np.diff(grey, axis=1)) < 1e-9
+        bits = np.unpackbits(np.frombuffer(bytes.fromhex(r["dhash"]), np.uint8)).reshape(8, 8).astype(bool)
+        assert ((bits == (np.diff(grey, axis=1) > 0)) | near_tie).all()
     assert media.read_media(media.store_media(empty)).count() == 0
 
 
@@ -610,6 +628,59 @@ def test_components(spark):
     assert got == {v: find(v) for v in root}
 
 
+def brute_statistics(t):
+    """``quality.STATS`` of one text, by plain Python."""
+    raw = t.encode()
+    size = max(1, len(raw))
+    words = raw.lower().split()
+    some = max(1, len(words))
+    lines, now = [], []
+    for i, line in enumerate(raw.lower().split(b"\n")):
+        now = line.split()
+        if now:
+            lines.append(tuple(sorted(now)))
+    pairs = list(zip(words, words[1:], strict=False))
+    return [sum(raw.count(bytes([b])) for b in set(c)) / size for c in quality.CLASSES.values()] + [math.log1p(len(raw)), math.log1p(len(words)), sum(map(len, words)) / some, sum(len(w) > 20 for w in words) / some, len(set(words)) / some, sum(a == b for a, b in pairs) / some, len(set(pairs)) / max(1, len(pairs)), len(set(lines)) / max(1, len(lines))]
+
+
+def test_quality_against_a_direct_solution(spark):
+    rnd = random.Random(18)
+    rows = []
+    for i in range(900):
+        good = rnd.random() < 0.6
+        w = words(rnd, rnd.randrange(1, 90))
+        rows.append((i, "\n".join(" ".join(w[k : k + 9]) for k in range(0, len(w), 9)) if good else " ".join(rnd.choice([x.upper() + "!", x, "buy buy"]) for x in w), int(good != (rnd.random() < 0.05))))
+    rows += [(900, "", 0), (901, None, 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    got = {r["doc_id"]: r["score"] for r in quality.quality_scores(d.drop("quality"), d).collect()}
+    x = np.array([brute_statistics(t or "") for _, t, _ in rows])
+    y = np.array([q for *_, q in rows], float)
+    rest = np.array([zlib.crc32(str(i).encode()) % 4 for i, *_ in rows])
+    train, cal = (rest == 0) | (rest == 1), rest == 3
+    learn = train | cal
+    fourier = quality.Fourier(x[learn].mean(axis=0), x[learn].std(axis=0))
+    z = np.stack([np.append(np.sqrt(2 / len(fourier.b)) * np.cos(v @ fourier.w + fourier.b), 1) for v in np.clip((x - fourier.mean) / fourier.std, -8, 8)])
+    # ridge as least squares with extra rows
+    k = z.shape[1]
+    lam = 1e-3 * train.sum() / k
+    beta = np.linalg.lstsq(np.vstack([z[train], np.sqrt(lam) * np.eye(k)]), np.append(y[train], np.zeros(k)), rcond=None)[0]
+    raw = (z @ beta).clip(-1, 2)
+    bins = {}
+    for s, t in zip(raw[cal], y[cal], strict=True):
+        bins.setdefault(math.floor((s + 1) / 3 * quality.BINS + 0.5), []).append((s, t))
+    px = [-1.0] + [np.mean([s for s, _ in b]) for _, b in sorted(bins.items())] + [2.0]
+    py, pw = [0.0] + [np.mean([t for _, t in b]) for _, b in sorted(bins.items())] + [1.0], [0.5] + [float(len(b)) for _, b in sorted(bins.items())] + [0.5]
+    # isotonic regression as the max of min of means
+    mean = lambda a, b: np.average(py[a : b + 1], weights=pw[a : b + 1])
+    iso = [max(min(mean(a, b) for b in range(j, len(px))) for a in range(j + 1)) for j in range(len(px))]
+    knots = []
+    for v in dict.fromkeys(np.round(iso, 12)):
+        i = [j for j in range(len(px)) if round(iso[j], 12) == v]
+        knots.append((np.average([px[j] for j in i], weights=[pw[j] for j in i]), v))
+    want = np.clip(np.interp(raw, *map(list, zip(*knots, strict=True))) * 0.999 + (raw + 1) / 3 * 0.001, 0, 1)
+    assert np.allclose([got[i] for i, *_ in rows], want, atol=2e-3)
+
+
 def test_quality(spark, docs, empty):
     rnd = random.Random(8)
     rows = [(i, " ".join(words(rnd, 60)) if i % 3 else " ".join(w.upper() + "!!" for w in words(rnd, 60))) for i in range(600)]
