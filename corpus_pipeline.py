@@ -10,52 +10,64 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secspark.llm.common import materialize, read_table
+from secspark.llm.common import columns, free_names, materialize, read_table
 from secspark.llm.exact_dedup import exact_duplicates, normalised
 from secspark.llm.mixing import mixed_rows
 from secspark.llm.near_dedup import near_duplicates
 from secspark.llm.packing import pack
 from secspark.llm.quality import quality_scores
 
-#: SQL can't express the classifier, so there is none for the whole; tests hold the stages against brute force.
+#: SQL can't express the classifier, so there is none for the whole; tests hold every stage against plain Python.
 ORACLE_SQL = None
 
 
 def _only(docs: DataFrame, decided: DataFrame, condition: str) -> DataFrame:
     """Rows of ``docs`` whose doc_id (null included) has a decision that meets ``condition``."""
-    good = decided.where(condition).select(F.col("doc_id").alias("good_id")).distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(F.col("good_id")), "left_semi")
+    (own,) = free_names(docs, "good_id")
+    good = decided.where(condition).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(good, docs["doc_id"].cast("long").eqNullSafe(F.col(own)), "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows predicted as high quality. Null and empty texts are scored like others; a repeated row stays or goes with its like,
+    rows that share a doc_id stay if one of them does; null doc_ids are one id; an empty table gives no rows."""
     return _only(docs, quality_scores(docs, read_table(spark, sf_dir, "labels")), "predicted = 1")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each text: that with the smallest doc_id, null ids last, any one of rows that share it. Null text is
+    empty; an empty table gives no rows."""
     decided = materialize(exact_duplicates(docs), "decided")
-    key = F.sha2(normalised(F.col("text")), 256)
+    sha, own, own_sha = free_names(docs, "sha", "good_id", "good_sha")
 
     def having(rows: DataFrame, good: DataFrame, how: str) -> DataFrame:
-        good = good.select(F.col("doc_id").alias("good_id"), F.col("text_sha256").alias("good_sha")).distinct()
-        return rows.join(good, rows["doc_id"].eqNullSafe(F.col("good_id")) & (rows["sha"] == F.col("good_sha")), how)
+        good = good.select(F.col("doc_id").alias(own), F.col("text_sha256").alias(own_sha)).distinct()
+        return rows.join(good, rows["doc_id"].cast("long").eqNullSafe(F.col(own)) & (rows[sha] == F.col(own_sha)), how)
 
-    rows = having(docs.withColumn("sha", key), decided.where("kept"), "left_semi")
+    rows = docs.select(*columns(docs), F.sha2(normalised(docs["text"]), 256).alias(sha))
+    rows = having(rows, decided.where("kept"), "left_semi")
     # rows that share even the id with the one that stays
     twice = decided.where("not kept and doc_id <=> keep_id")
     if not twice.isEmpty():
-        rows = having(rows, twice, "left_anti").unionByName(having(rows, twice, "left_semi").dropDuplicates(["doc_id", "sha"]))
-    return rows.select(*docs.columns)
+        rows = having(rows, twice, "left_anti").unionByName(having(rows, twice, "left_semi").dropDuplicates(["doc_id", sha]))
+    return rows.drop(sha)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that with the smallest doc_id. Texts without words and rows without a
+    doc_id stay; rows that share a doc_id stay or go together; an empty table gives no rows."""
     return _only(docs, near_duplicates(docs, k=5, per_cent=80), "kept")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them, shard after shard in the shards' order. Null sources are one source, null texts have no
+    words; repeated rows are taken alike; an empty table gives no rows."""
     return mixed_rows(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows. Null text is empty, an empty text the closing id alone; repeated rows are packed again; an empty
+    table gives no rows."""
     return pack(docs)
 
 
