@@ -36,8 +36,12 @@ class Client:
         return request.run(self.events())
 
     def find_similar(self, vector, k: int = 10) -> DataFrame:
-        both = self.events().select("id", "vec")
-        return search.find_similar(both, V.literal(vector), k)
+        """The nearest among events and artifacts: ``(kind, id, score)``."""
+        return search.similar_of_kinds({k: self.store.read(k) for k in ("logs", "artifacts")}, V.literal(vector), k)
+
+    def lookup(self, id_) -> DataFrame:
+        """``(kind, id, record)`` of whatever has the id; the newest of each kind."""
+        return self.store.get_any(id_, ("logs", "artifacts"), "ts_ms")
 
     def correlate(self, **options) -> DataFrame:
         rows = correlate.correlate_all(self.events(), self.store.read("artifacts"), **options)

@@ -1,36 +1,83 @@
 """Hash chains: build by one fold per chain, verify in parallel.
 
-``data_hash = sha256(data)``; ``hash = sha256([prev '|'] data_hash '|' seq)`` over hex text, the first node without a
-predecessor. SHA-256 and decimal sequence text stand for the hash and byte order of other builds; tampering shows alike.
+``data_hash = H(data)``; ``hash = H([prev '|'] data_hash seq)`` with both hashes as hex text and the sequence as eight
+little-endian bytes, the first node without a predecessor. H is SHA-256, which runs in the JVM, or BLAKE3
+(``functions.blake3``), which runs in Arrow batches.
+
+Cases: null data has a null data hash and breaks a chain's fold (an error); rows repeating a sequence are nodes one after
+the other; no rows give no nodes and no violations.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from secspark.functions.blake3 import blake3
+
+HASHES = {"sha256": lambda b: hashlib.sha256(b).hexdigest(), "blake3": lambda b: blake3([b])[0].hex()}
+
+
+def little_endian(seq: Column) -> Column:
+    """Eight bytes, the lowest first."""
+    h = F.lpad(F.hex(seq.cast("long")), 16, "0")
+    return F.unhex(F.concat(*[F.substring(h, 15 - 2 * i, 2) for i in range(8)]))
+
 
 def node_hash(prev: Column, data_hash: Column, seq: Column) -> Column:
-    return F.sha2(F.concat(F.coalesce(F.concat(prev, F.lit("|")), F.lit("")), data_hash, F.lit("|"), seq.cast("string")), 256)
+    """SHA-256 of a node."""
+    return F.sha2(F.concat(F.coalesce(F.concat(prev, F.lit("|")), F.lit("")).cast("binary"), data_hash.cast("binary"), little_endian(seq)), 256)
+
+
+def next_hash(prev: str | None, data_hash: str, seq: int, algorithm: str = "sha256") -> str:
+    return HASHES[algorithm]((f"{prev}|" if prev else "").encode() + data_hash.encode() + int(seq).to_bytes(8, "little", signed=seq < 0))
+
+
+def _fold(algorithm: str):
+    """Rows come sorted by chain and sequence; only the running hash is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain = prev = None
+        first = True
+        for b in batches:
+            prevs, hashes = [], []
+            for c, s, d in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                if first or c != chain:
+                    chain, prev, first = c, None, False
+                prevs.append(prev)
+                prev = next_hash(prev, d, s, algorithm)
+                hashes.append(prev)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prevs, pa.string()), pa.array(hashes, pa.string())], ["chain", "seq", "data_hash", "prev_hash", "hash"])
+
+    return run
+
+
+def build(rows: DataFrame, algorithm: str = "sha256") -> DataFrame:
+    """``rows (chain, seq, data)`` to nodes ``(chain, seq, data_hash, prev_hash, hash)``; data hashes are made in parallel, and the
+    fold streams over sorted rows."""
+    if algorithm == "sha256":
+        hashed = rows.select("chain", "seq", F.sha2(F.col("data").cast("binary"), 256).alias("data_hash"))
+    else:
+        hashed = rows.select("chain", "seq", blake3_hex(F.col("data")).alias("data_hash"))
+    hashed = hashed.select(F.col("chain").cast("long"), F.col("seq").cast("long"), "data_hash")
+    return hashed.repartition("chain").sortWithinPartitions("chain", "seq").mapInArrow(_fold(algorithm), "chain long, seq long, data_hash string, prev_hash string, hash string")
 
 
-def build(rows: DataFrame) -> DataFrame:
-    """``rows (chain, seq, data)`` to nodes ``(chain, seq, data_hash, prev_hash, hash)``; data hashes are made in parallel before the fold."""
-    hashed = rows.select("chain", "seq", F.sha2(F.col("data").cast("binary"), 256).alias("data_hash"))
+def blake3_hex(data: Column) -> Column:
+    """BLAKE3 of a column's bytes as hex; null for null."""
 
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("seq")
-        prev, prevs, hashes = None, [], []
-        for s, d in zip(f["seq"], f["data_hash"], strict=True):
-            prevs.append(prev)
-            prev = hashlib.sha256(f"{prev + '|' if prev else ''}{d}|{s}".encode()).hexdigest()
-            hashes.append(prev)
-        return f.assign(prev_hash=prevs, hash=hashes)[["chain", "seq", "data_hash", "prev_hash", "hash"]]
+    @F.pandas_udf("string")
+    def run(s):
+        some = s.notna()
+        out = s.where(~some, None).astype(object)
+        out[some] = [d.hex() for d in blake3([bytes(x) for x in s[some]])]
+        return out
 
-    return hashed.groupBy("chain").applyInPandas(fold, "chain long, seq long, data_hash string, prev_hash string, hash string")
+    return run(data.cast("binary"))
 
 
 def heads(rows: DataFrame) -> DataFrame:
@@ -61,11 +108,19 @@ def verify(nodes: DataFrame, full: bool = True, from_seq: int | None = None, fro
 
 
 def damaged(records: DataFrame) -> DataFrame:
-    """Records ``(seq, data, crc)`` whose bytes don't have their CRC, and gaps in the sequence: nothing ends silently."""
-    w = Window.orderBy("seq")
-    bad = records.where(F.crc32(F.col("data").cast("binary")) != F.col("crc")).select("seq", F.lit("crc").alias("reason"))
-    gap = records.select("seq", F.lag("seq").over(w).alias("before")).where("seq <> before + 1").select("seq", F.lit("gap").alias("reason"))
-    return bad.unionByName(gap)
+    """Records ``(seq, data, crc)`` whose bytes don't have their CRC, and gaps in the sequence: nothing ends silently. A gap is a
+    record, not the first, without the one before it; that takes a join by sequence and no sort of all records."""
+    bad = records.where(~F.crc32(F.col("data").cast("binary")).eqNullSafe(F.col("crc"))).select("seq", F.lit("crc").alias("reason"))
+    seqs = records.select("seq").distinct()
+    first = records.agg(F.min("seq").alias("first"))
+    gap = seqs.join(seqs.select((F.col("seq") + 1).alias("seq")), "seq", "left_anti").join(F.broadcast(first), F.col("seq") > F.col("first"))
+    return bad.unionByName(gap.select("seq", F.lit("gap").alias("reason")))
+
+
+def truncate(records: DataFrame, before: int) -> DataFrame:
+    """Records from ``before`` on, and always those of the newest file ``(seq, file, ...)``: it may still be written to."""
+    newest = records.agg(F.max("file").alias("newest"))
+    return records.join(F.broadcast(newest)).where((F.col("seq") >= before) | (F.col("file") == F.col("newest"))).drop("newest")
 
 
 def read_from(records: DataFrame, seq: int, inclusive: bool = True) -> DataFrame:

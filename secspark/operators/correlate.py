@@ -13,12 +13,12 @@ from secspark.operators import search
 
 try:
     import ahocorasick
-except ImportError:  # the nested loop below does the same
+except ImportError:  # the window joins below do the same
     ahocorasick = None
 
 THRESHOLD, LIMIT, SHORT, LEAST_BYTES = 0.85, 100, 16, 5
-#: Artifact strings up to which they are shipped to all tasks for the containment test.
-SHIPPED_STRINGS = 50_000
+#: Artifact strings, and their bytes, up to which they are shipped to all tasks for the containment test.
+SHIPPED_STRINGS, SHIPPED_BYTES = 50_000, 8 << 20
 _RANK = "CASE kind WHEN 'VectorSimilarity' THEN 0 WHEN 'HashMatch' THEN 1 ELSE 2 END"
 
 
@@ -61,38 +61,42 @@ def _containing(logs: DataFrame, strings: DataFrame) -> DataFrame:
     return text.mapInPandas(_contained(side), "source_id long, target_id long")
 
 
+def _shipped(strings: DataFrame, col: str) -> bool:
+    """Whether the strings are few and short enough to be on every task."""
+    if not ahocorasick:
+        return False
+    n = strings.limit(SHIPPED_STRINGS + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(col)), F.lit(0)).alias("bytes")).first()
+    return n["n"] <= SHIPPED_STRINGS and n["bytes"] <= SHIPPED_BYTES
+
+
 def by_hash(logs: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """Logs that contain an artifact's short hash. Few hashes are shipped; else an equi-join: a short hash occurs in a text
-    just if it is a 16-character window of a run of hex digits."""
-    hashes = artifacts.select(F.col("id").alias("target_id"), F.substring("hash", 1, SHORT).alias("short")).where(F.length("short") == SHORT)
-    if ahocorasick and hashes.limit(SHIPPED_STRINGS + 1).count() <= SHIPPED_STRINGS:
+    """Logs that contain an artifact's short hash, the first 16 digits in lower case; hashes that don't begin with 16 hex
+    digits match nothing. Few hashes are shipped; else an equi-join: a short hash occurs in a text just if it is a
+    16-character window of a run of hex digits."""
+    hashes = artifacts.select(F.col("id").alias("target_id"), F.lower(F.substring("hash", 1, SHORT)).alias("short")).where(f"short rlike '^[0-9a-f]{{{SHORT}}}$'")
+    if _shipped(hashes, "short"):
         return _rows(_containing(logs, hashes.withColumnRenamed("short", "s")), "HashMatch", F.lit(1.0))
     runs = F.concat(*[F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(f"[0-9a-f]{{{SHORT},}}"), F.lit(0)) for c in ("raw", "meta")])
     cut = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - (SHORT - 1)), lambda i: F.substring(r, i, F.lit(SHORT)))
     # windows are made distinct inside their row; pairs are few, so they are what is shuffled
-    windows = logs.select(F.col("id").alias("source_id"), F.explode(F.array_distinct(F.flatten(F.transform(runs, cut)))).alias("short"))
-    return _rows(windows.join(hashes, "short").select("source_id", "target_id").distinct(), "HashMatch", F.lit(1.0))
+    windows = logs.select(F.col("id").cast("long").alias("source_id"), F.explode(F.array_distinct(F.flatten(F.transform(runs, cut)))).alias("short"))
+    return _rows(windows.join(hashes, "short").select("source_id", F.col("target_id").cast("long").alias("target_id")).distinct(), "HashMatch", F.lit(1.0))
 
 
 def by_filename(logs: DataFrame, artifacts: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """Strings of at least five bytes inside a log's text or metadata, one row for each pair."""
-    strings = artifacts.select(F.col("id").alias("target_id"), F.explode("strings").alias("s")).where(F.octet_length("s") >= least).distinct()
-    if strings.limit(SHIPPED_STRINGS + 1).count() <= SHIPPED_STRINGS:
-        if ahocorasick:
-            hit = _containing(logs, strings)
-        else:
-            text = logs.select(F.col("id").alias("source_id"), F.coalesce("raw", F.lit("")).alias("raw"), F.coalesce("meta", F.lit("")).alias("meta"))
-            hit = text.join(F.broadcast(strings), F.col("raw").contains(F.col("s")) | F.col("meta").contains(F.col("s")))
-    else:
-        # windows of the shortest length meet the strings' heads; the whole string is tested then
-        both = F.explode(F.array(F.coalesce("raw", F.lit("")), F.coalesce("meta", F.lit(""))))
-        text = logs.select(F.col("id").alias("source_id"), both.alias("t"))
-        heads = strings.withColumn("n", F.least(F.length("s"), F.lit(least))).withColumn("head", F.substring("s", F.lit(1), F.col("n")))
-        n = F.explode(F.sequence(F.lit(1), F.lit(least)))
-        w = text.select("source_id", "t", n.alias("n")).where(F.length("t") >= F.col("n"))
-        w = w.select("source_id", "t", "n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - F.col("n") + 1), lambda i: F.substring(F.col("t"), i, F.col("n"))))).alias("head"))
-        hit = w.join(heads, ["n", "head"]).where(F.col("t").contains(F.col("s")))
-    return _rows(hit.select("source_id", "target_id").distinct(), "FilenameMatch", F.lit(0.9))
+    """Strings of at least five bytes inside a log's text or metadata, one row for each pair. Few strings are shipped; else
+    windows of a text, without the text, meet the strings' heads, and only texts with such a pair are read again."""
+    strings = artifacts.select(F.col("id").cast("long").alias("target_id"), F.explode("strings").alias("s")).where(F.octet_length("s") >= least).distinct()
+    if _shipped(strings, "s"):
+        return _rows(_containing(logs, strings).distinct(), "FilenameMatch", F.lit(0.9))
+    heads = strings.withColumn("n", F.least(F.length("s"), F.lit(least)).cast("int")).withColumn("head", F.substring("s", F.lit(1), F.col("n")))
+    texts = logs.select(F.col("id").cast("long").alias("source_id"), F.explode(F.array(F.coalesce("raw", F.lit("")), F.coalesce("meta", F.lit("")))).alias("t"))
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length("t") - n + 1), lambda i: F.struct(F.lit(n).alias("n"), F.substring(F.col("t"), i, F.lit(n)).alias("head")))
+    none = F.expr("cast(array() as array<struct<n:int,head:string>>)")
+    windows = F.flatten(F.array(*[F.when(F.length("t") >= n, F.array_distinct(cut(n))).otherwise(none) for n in range(1, least + 1)]))
+    found = texts.select("source_id", F.explode(windows).alias("w")).join(heads, (F.col("w.n") == heads["n"]) & (F.col("w.head") == heads["head"])).select("source_id", "target_id", "s").distinct()
+    both = found.join(texts, "source_id").where(F.col("t").contains(F.col("s")))
+    return _rows(both.select("source_id", "target_id").distinct(), "FilenameMatch", F.lit(0.9))
 
 
 def dedup(rows: DataFrame) -> DataFrame:

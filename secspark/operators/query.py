@@ -13,6 +13,15 @@ from secspark.functions import vectors as V
 OPERATORS = ("Equals", "NotEquals", "GreaterThan", "LessThan", "In", "NotIn", "Contains", "StartsWith", "EndsWith")
 
 
+def json_field(meta: Column, name: str) -> Column:
+    """A field of a JSON object as text, whatever its name holds; whole numbers without decimals."""
+    if "'" in name or "\\" in name:  # no path can hold these
+        x = F.try_element_at(F.from_json(meta, "map<string,string>"), F.lit(name))
+    else:
+        x = F.get_json_object(meta, f"$['{name}']")
+    return F.regexp_replace(x, r"^(-?[0-9]+)\.0+$", "$1")
+
+
 @dataclass
 class MetadataFilter:
     """A missing field (or unreadable JSON) never matches, not even under NotEquals and NotIn."""
@@ -22,8 +31,9 @@ class MetadataFilter:
     value: object
 
     def column(self, meta: Column) -> Column:
-        x = F.get_json_object(meta, f"$.{self.field}")
-        text = lambda v: str(v).lower() if isinstance(v, bool) else str(v)
+        x = json_field(meta, self.field)
+        # whole numbers have one form: 42.0 is 42
+        text = lambda v: str(v).lower() if isinstance(v, bool) else str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)
         if self.operator in ("GreaterThan", "LessThan"):
             n = x.try_cast("double")
             return n > float(self.value) if self.operator == "GreaterThan" else n < float(self.value)
@@ -102,10 +112,23 @@ class QueryRequest:
         return page.crossJoin(F.broadcast(total))
 
 
-def meta_add(meta: Column, key: str, value: str) -> Column:
+def explain(request: QueryRequest, logs: DataFrame, mode: str = "formatted") -> str:
+    """The physical plan of a request."""
+    plan = request.run(logs)
+    return plan._jdf.queryExecution().explainString(plan.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
+
+
+def estimate_cost(request: QueryRequest, logs: DataFrame) -> dict:
+    """Bytes that the optimiser expects to read and to return, and the operations that the request asks for."""
+    stats = lambda d: int(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return {"bytes_read": stats(logs), "bytes_out": stats(request.run(logs)), "filters": len(request.metadata_filters) + (request.time_range is not None), "sorts": 1, "vector": request.vector_query is not None}
+
+
+def meta_add(meta: Column, key: str, value) -> Column:
     """``meta`` with one field set; unreadable JSON counts as empty."""
     m = F.coalesce(F.from_json(meta, "map<string,string>"), F.create_map().cast("map<string,string>"))
-    return F.to_json(F.map_concat(F.map_filter(m, lambda k, _: k != key), F.create_map(F.lit(key), F.lit(value))))
+    value = value if isinstance(value, Column) else F.lit(value)
+    return F.to_json(F.map_concat(F.map_filter(m, lambda k, _: k != key), F.create_map(F.lit(key), value)))
 
 
 def inverted_index(logs: DataFrame, key: str) -> DataFrame:

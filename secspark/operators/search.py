@@ -128,3 +128,15 @@ def medoid(vectors: DataFrame, by: str, vec_col: str = "vec") -> DataFrame:
     mean = centroid(vectors, by, vec_col).groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda s: s["mean"]).alias("m"))
     d = V.l2_squared(F.col(vec_col), F.col("m"))
     return vectors.join(mean, by).groupBy(by).agg(F.min_by("id", F.struct(F.round(d, 9).alias("d"), F.col("id").alias("i"))).alias("id"))
+
+
+def similar_of_kinds(kinds: dict[str, DataFrame], query: Column, k: int, threshold: float | None = None) -> DataFrame:
+    """``find_similar`` over several tables ``(id, vec)`` at once: ``(kind, id, score)``; ties go to the smaller kind, then id."""
+    rows = None
+    for name, df in kinds.items():
+        part = df.where(F.size("vec") == F.size(query)).select(F.lit(name).alias("kind"), F.col("id"), V.cosine(F.col("vec"), query).alias("score"))
+        rows = part if rows is None else rows.unionByName(part)
+    rows = rows.where(~F.isnan("score"))
+    if threshold is not None:
+        rows = rows.where(F.col("score") >= threshold)
+    return rows.orderBy(F.desc("score"), "kind", "id").limit(k)

@@ -5,37 +5,80 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from secspark.errors import InvalidQuery, StorageError
 from secspark.operators.query import latest
+from secspark.scratch import exists, remove, scratch_dir
 
 L0_TRIGGER, LEVEL_BYTES, MAX_LEVELS, LEVEL_PICK = 4, 640 << 20, 7, 4
 CODECS = ("none", "snappy", "zstd")
 
 
 class Store:
-    """Parquet tables under one path, one for each kind; a committed append is durable."""
+    """Parquet tables under one path, one folder for each kind and version; a committed append is durable.
+
+    ``_current_<kind>`` (a table of one row) names the version that readers see. Compaction writes a new version and then
+    switches that name, so a failure leaves the old one whole. Reading a kind that was never written raises StorageError.
+    """
 
     def __init__(self, spark: SparkSession, path: str, codec: str = "zstd"):
+        if codec not in CODECS:
+            raise InvalidQuery(f"unknown codec {codec}")
         self.spark, self.path, self.codec = spark, path, codec
 
+    def _folder(self, kind: str) -> str:
+        name = f"{self.path}/_current_{kind}"
+        version = self.spark.read.parquet(name).agg(F.max("version")).first()[0] if exists(self.spark, name) else 0
+        return f"{self.path}/{kind}/v{version}"
+
     def append(self, kind: str, df: DataFrame, by: tuple[str, ...] = ()) -> None:
         w = df.write.mode("append").option("compression", self.codec).option("parquet.bloom.filter.enabled#id", "true")
-        (w.partitionBy(*by) if by else w).parquet(f"{self.path}/{kind}")
+        (w.partitionBy(*by) if by else w).parquet(self._folder(kind))
+
+    def append_numbered(self, kind: str, df: DataFrame, order: str) -> DataFrame:
+        """Append rows and return their ids ``(position, id)`` in the order given. Ids are version 4 UUIDs."""
+        rows = df.withColumn("id", F.expr("uuid()"))
+        path = scratch_dir(self.spark, "batch")
+        rows.write.parquet(path)  # ids are drawn once
+        self.append(kind, self.spark.read.parquet(path))
+        return self.spark.read.parquet(path).select(F.col(order).alias("position"), "id").orderBy("position")
 
     def read(self, kind: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{kind}")
+        folder = self._folder(kind)
+        if not exists(self.spark, folder):
+            raise StorageError(f"no {kind} in {self.path}")
+        return self.spark.read.parquet(folder)
 
     def get(self, kind: str, id_) -> DataFrame:
+        """Rows of one kind with an id; files without it are skipped by their bloom filters and statistics."""
         return self.read(kind).where(F.col("id") == id_)
 
+    def get_any(self, id_, kinds: tuple[str, ...], version: str = "seq") -> DataFrame:
+        """``(kind, id, record)``: the newest row with an id in each of the kinds, as JSON."""
+        found = [latest(self.get(k, id_), "id", version).select(F.lit(k).alias("kind"), "id", F.to_json(F.struct("*")).alias("record")) for k in kinds]
+        out = found[0]
+        for f in found[1:]:
+            out = out.unionByName(f)
+        return out
+
+    def scan_sorted(self, kind: str, key: str = "id") -> DataFrame:
+        return self.read(kind).orderBy(key)
+
+    def files(self, kind: str) -> DataFrame:
+        """The manifest: ``(path, size, rows, min_id, max_id)`` of each file."""
+        meta = self.read(kind).select("id", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
+        return meta.groupBy("path").agg(F.first("size").alias("size"), F.count("*").alias("rows"), F.min("id").alias("min_id"), F.max("id").alias("max_id"))
+
     def compact(self, kind: str, key: str = "id", version: str = "seq") -> dict:
-        """Rewrite one table with the newest row of each key, ordered by key; returns counts."""
-        df = self.read(kind)
+        """A new version of one table with the newest row of each key, ordered by key; returns counts."""
+        df, old = self.read(kind), self._folder(kind)
         before = df.count()
-        tmp = f"{self.path}/_{kind}_compacted"
-        latest(df, key, version).repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").option("compression", self.codec).parquet(tmp)
-        new = self.spark.read.parquet(tmp)
-        after = new.count()
-        new.write.mode("overwrite").option("compression", self.codec).parquet(f"{self.path}/{kind}")
+        number = int(old.rpartition("/v")[2]) + 1
+        new = f"{self.path}/{kind}/v{number}"
+        remove(self.spark, new)  # of an attempt that failed
+        latest(df, key, version).repartitionByRange(key).sortWithinPartitions(key).write.option("compression", self.codec).option("parquet.bloom.filter.enabled#id", "true").parquet(new)
+        after = self.spark.read.parquet(new).count()
+        self.spark.createDataFrame([(number,)], "version int").coalesce(1).write.mode("append").parquet(f"{self.path}/_current_{kind}")
+        remove(self.spark, old)
         return {"read": before, "kept": after, "dropped": before - after}
 
 

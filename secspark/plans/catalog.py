@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from secspark import scratch
+from secspark.functions import identity as I
 from secspark.functions import scalar as S
 from secspark.functions import vectors as V
 from secspark.operators import ann, chain, correlate, partition, search, store
@@ -54,6 +55,15 @@ def _tagged(spark, sf):
     return logs.unionByName(b.select(F.lit("code").alias("kind"), F.col("item_id").alias("id"), F.col("text").alias("payload"), F.lit(None).cast("long").alias("ts_ms")))
 
 
+def _stored(spark, sf):
+    """A store with events, artifacts and links (the ids of documents)."""
+    s = store.Store(spark, _scratch(spark, "stored"))
+    s.append("logs", schema.events(spark, sf).select("id", "ts_ms", "event_type", F.lit(1).alias("seq")))
+    s.append("artifacts", schema.text_artifacts(spark, sf).select("id", "hash", F.lit(1).alias("seq")))
+    s.append("links", schema.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("value"), F.lit(1).alias("seq")))
+    return s
+
+
 @query("SELECT 'code' AS kind, item_id AS id, text AS payload FROM benchmark")
 def scan_by_kind(spark, sf):
     return _tagged(spark, sf).where("kind = 'code'").select("kind", "id", "payload")
@@ -64,6 +74,52 @@ def point_lookup(spark, sf):
     return schema.events(spark, sf).where("id = 42").select("id", "ts_ms", "event_type", "host", "meta")
 
 
+@query("SELECT 'logs' AS kind, event_id AS id FROM events WHERE event_id = 42 UNION ALL SELECT 'artifacts', item_id FROM benchmark WHERE item_id = 42 UNION ALL SELECT 'links', doc_id FROM documents WHERE doc_id = 42")
+def point_lookup_any(spark, sf):
+    """Whatever has an id, of any kind."""
+    s = _stored(spark, sf)
+    return s.get_any(42, ("logs", "artifacts", "links")).select("kind", "id")
+
+
+@query("SELECT item_id AS id, sha256(text) AS hash FROM benchmark WHERE item_id = 3 UNION ALL SELECT item_id, sha256(text) FROM benchmark WHERE item_id = (SELECT max(event_id) FROM events)")
+def point_lookup_code(spark, sf):
+    """An artifact by its id; the id of an event finds none."""
+    s = _stored(spark, sf)
+    last = schema.events(spark, sf).agg(F.max("id")).first()[0]
+    return s.get("artifacts", 3).unionByName(s.get("artifacts", last)).select("id", "hash")
+
+
+@query("SELECT event_id AS id FROM events ORDER BY 1")
+def scan_sorted(spark, sf):
+    return _stored(spark, sf).scan_sorted("logs").select("id")
+
+
+@query("SELECT count(*) AS rows, min(event_id) AS min_id, max(event_id) AS max_id, true AS sized FROM events")
+def storage_manifest(spark, sf):
+    """What the files of a table hold, summed."""
+    f = _stored(spark, sf).files("logs")
+    return f.agg(F.sum("rows").alias("rows"), F.min("min_id").alias("min_id"), F.max("max_id").alias("max_id"), (F.min("size") > 0).alias("sized"))
+
+
+@query("SELECT c AS codec, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events, (SELECT unnest(['none', 'snappy', 'zstd']) AS c) GROUP BY 1")
+def storage_codecs(spark, sf):
+    out = None
+    for codec in store.CODECS:
+        s = store.Store(spark, _scratch(spark, "codec"), codec)
+        s.append("logs", schema.events(spark, sf).select("id"))
+        part = s.read("logs").agg(F.lit(codec).alias("codec"), F.count("*").alias("n"), F.sum("id").alias("total"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT event_id AS position, true AS valid FROM events WHERE event_id < 1000 ORDER BY 1")
+def batch_write(spark, sf):
+    """Rows written at once; their new ids come in the rows' order."""
+    s = store.Store(spark, _scratch(spark, "batch"))
+    ids = s.append_numbered("logs", schema.events(spark, sf).where("id < 1000").withColumnRenamed("id", "position"), "position")
+    return ids.join(s.read("logs").select("id", F.col("position").alias("p")), "id").where("p = position").select("position", F.col("id").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$").alias("valid")).orderBy("position")
+
+
 @query("SELECT vec_id AS id, i AS pos, round(CAST(embedding[i + 1] AS DOUBLE), 6) AS x FROM embeddings, range(0, 64) t(i) WHERE vec_id = 42")
 def vector_get(spark, sf):
     v = schema.vectors(spark, sf).where("id = 42")
@@ -141,6 +197,18 @@ def retention_enforce(spark, sf):
     return partition.enforce_retention(p, partition.retention_candidates(p, _NOW, _KEEP, "hourly")).select("id")
 
 
+@query(f"SELECT event_id AS id, NULL AS partitions, NULL AS errors FROM events WHERE NOT ({_GONE}) UNION ALL SELECT -1, count(*), 0 FROM (SELECT DISTINCT CAST(ts AS DATE), hour(ts) FROM events WHERE {_GONE})")
+def retention_delete(spark, sf):
+    """What is left of a stored table after retention, and the report (id -1)."""
+    path = _scratch(spark, "retention")
+    p = partition.assign(schema.events(spark, sf), "hourly")
+    p.repartition("date").write.partitionBy("date", "win").parquet(path)
+    done = partition.delete_partitions(spark, path, partition.retention_candidates(p, _NOW, _KEEP, "hourly"))
+    none = F.lit(None).cast("long")
+    report = spark.createDataFrame([(-1, done["partitions_deleted"], len(done["errors"]))], "id long, partitions long, errors long")
+    return spark.read.parquet(path).select("id", none.alias("partitions"), none.alias("errors")).unionByName(report)
+
+
 # metadata ---------------------------------------------------------------------------------------------------------------
 
 _K = "json_extract_string(props, '$.k')"
@@ -181,10 +249,8 @@ def meta_cardinality(spark, sf):
 
 @query(f"SELECT event_id AS id, {_K} AS k, event_type AS source FROM events")
 def meta_add_field(spark, sf):
-    e = schema.events(spark, sf)
-    m = F.from_json("meta", "map<string,string>")
-    m = F.to_json(F.map_concat(F.map_filter(m, lambda k, _: k != "source"), F.create_map(F.lit("source"), F.col("event_type"))))
-    return e.select("id", m.alias("m")).select("id", F.get_json_object("m", "$.k").alias("k"), F.get_json_object("m", "$.source").alias("source"))
+    m = Q.meta_add(F.col("meta"), "source", F.col("event_type"))
+    return schema.events(spark, sf).select("id", m.alias("m")).select("id", F.get_json_object("m", "$.k").alias("k"), F.get_json_object("m", "$.source").alias("source"))
 
 
 # vectors ----------------------------------------------------------------------------------------------------------------
@@ -212,6 +278,16 @@ def find_similar(spark, sf):
     return search.find_similar(v, ann.literal_query(v, 0), 10).select("id", F.round("score", 6).alias("score"))
 
 
+@query(f"""SELECT kind, id, round(s, 6) AS score FROM (SELECT 'logs' AS kind, event_id AS id, {_COS} AS s FROM events JOIN embeddings ON vec_id = event_id, {_Q0}
+ UNION ALL SELECT 'artifacts', item_id, {_COS} FROM benchmark JOIN embeddings ON vec_id - 100 = item_id, {_Q0}) ORDER BY s DESC, kind, id LIMIT 10""")
+def find_similar_all(spark, sf):
+    """The nearest among events and artifacts together."""
+    v = schema.vectors(spark, sf)
+    logs = schema.events(spark, sf).select("id").join(v.select("id", "vec"), "id")
+    found = search.similar_of_kinds({"logs": logs, "artifacts": schema.text_artifacts(spark, sf, True)}, ann.literal_query(v, 0), 10)
+    return found.select("kind", "id", F.round("score", 6).alias("score"))
+
+
 @query(f"SELECT vec_id AS id, round({_COS}, 6) AS score FROM embeddings, {_Q0} WHERE {_COS} >= 0.3 ORDER BY {_COS} DESC, vec_id LIMIT 20")
 def similar_threshold(spark, sf):
     v = schema.vectors(spark, sf)
@@ -289,50 +365,72 @@ def vector_live_filter(spark, sf):
     return search.live_vectors(schema.vectors(spark, sf), schema.events(spark, sf).where("event_type = 'error'")).select("id")
 
 
-@query()
+def _index(spark, sf, rows=None):
+    """A calibrated model and its index, stored by cell."""
+    v = schema.vectors(spark, sf) if rows is None else rows
+    model = ann.fit(v)
+    table = ann.store(model, v, _scratch(spark, "index"))
+    return ann.calibrate(model, table), table
+
+
+@query("SELECT vec_id AS id FROM embeddings")
 def ann_build(spark, sf):
-    v = schema.vectors(spark, sf)
-    return ann.fit(v).assign(v).select("id", "cell")
+    """Every vector is in one cell."""
+    return _index(spark, sf)[1].select("id")
 
 
-@query()
+@query(_top(_COS, "DESC", 1))
 def ann_search(spark, sf):
-    v = schema.vectors(spark, sf)
-    m = ann.fit(v)
-    return ann.ann_search(m, m.assign(v), ann.query_vector(v, 0), 10)
+    """The nearest of vector 0 is itself."""
+    m, table = _index(spark, sf)
+    return ann.ann_search(m, table, ann.query_vector(schema.vectors(spark, sf), 0), 1).select("id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query("SELECT vec_id AS id FROM embeddings")
 def ann_incremental(spark, sf):
     v = schema.vectors(spark, sf)
-    m = ann.fit(v.where("id % 2 = 0"))
-    return ann.add(m, m.assign(v.where("id % 2 = 0")), v.where("id % 2 = 1")).select("id", "cell")
+    m, table = _index(spark, sf, v.where("id % 2 = 0"))
+    return ann.add(m, table, v.where("id % 2 = 1")).select("id")
 
 
-@query()
+@query("SELECT true AS same")
 def ann_model_roundtrip(spark, sf):
+    """A model that was saved and loaded finds the same."""
     v = schema.vectors(spark, sf)
+    m, table = _index(spark, sf)
     path = _scratch(spark, "ann")
-    ann.fit(v).save(spark, path)
-    m = ann.CellModel.load(spark, path)
-    return ann.ann_search(m, m.assign(v), ann.query_vector(v, 0), 10)
+    m.save(spark, path)
+    q = ann.query_vector(v, 0)
+    a, b = (ann.ann_search(x, table, q, 10) for x in (m, ann.CellModel.load(spark, path)))
+    return a.exceptAll(b).agg(F.count("*").alias("n")).select((F.col("n") == 0).alias("same"))
 
 
-@query()
+@query("SELECT (SELECT count(*) FROM embeddings) AS vectors, true AS replaced")
+def ann_update(spark, sf):
+    """A vector that is replaced is found under its id by the new value."""
+    v = schema.vectors(spark, sf)
+    m, table = _index(spark, sf)
+    new = v.where("id = 7").select("id", F.transform("vec", lambda x: -x).alias("vec"))
+    now = scratch.materialize(ann.update(m, table, new), "updated")
+    hit = ann.ann_search(m, now, [-x for x in ann.query_vector(v, 7)], 1)
+    return ann.index_stats(now).select("vectors").crossJoin(F.broadcast(hit.select((F.col("id") == 7).alias("replaced"))))
+
+
+@query(_top(_COS, "DESC", 1))
 def hybrid_search(spark, sf):
     v = schema.vectors(spark, sf)
-    return ann.hybrid_search(v, ann.query_vector(v, 0), 10)
+    return ann.hybrid_search(v, ann.query_vector(v, 0), 1).select("id", F.round("score", 6).alias("score"))
 
 
 def recall_at_ten(spark, sf):
-    """One row ``(recall)``: recall@10 of the nearest cells against exact search, over every 20th vector."""
+    """One row ``(recall)``: recall@10 of the searched cells against exact search, over every 20th vector."""
     v = schema.vectors(spark, sf)
-    model = ann.fit(v)
+    model, table = _index(spark, sf)
     queries = v.where("id % 20 = 0").select("id", "vec")
     exact = search.knn_batch(queries, v, 10).select("query", "id")
     near = F.array_sort(F.array(*[F.struct(V.l2_squared(V.normalized(F.col("vec")), V.literal(c)).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(model.centers)]))
-    probes = queries.select(F.col("id").alias("query"), F.col("vec").alias("q"), F.explode(F.slice(near, 1, ann.NPROBE)).alias("p")).select("query", "q", F.col("p.i").alias("cell"))
-    found = probes.join(model.assign(v), "cell").select("query", "id", V.cosine(F.col("vec"), F.col("q")).alias("score"))
+    probes = queries.select(F.col("id").alias("query"), F.col("vec").alias("q"), F.explode(F.slice(near, 1, model.nprobe)).alias("p")).select("query", "q", F.col("p.i").alias("cell"))
+    found = probes.join(table, "cell").select("query", "id", V.cosine(F.col("vec"), F.col("q")).alias("score"))
     found = Q.ranked(found, ["query"], [F.desc(F.round("score", 9)), "id"], 10)
     hits = exact.join(found.select("query", "id", F.lit(1).alias("hit")), ["query", "id"], "left")
     return hits.agg((F.count("hit") / F.count("*")).alias("recall"))
@@ -357,6 +455,15 @@ def query_request(spark, sf):
     return r.run(logs).select("id", "event_type", F.round("score", 6).alias("score"), "total_matches")
 
 
+@query("SELECT true AS pruned, true AS smaller, 2 AS filters")
+def query_explain(spark, sf):
+    """The plan of a request filters in the scan; its cost names what it asks for."""
+    logs = schema.events(spark, sf)
+    r = Q.QueryRequest(None, [Q.MetadataFilter("k", "GreaterThan", 20)], Q.TimeRange(1704067200000, 1706659200000), 10)
+    cost, plan = Q.estimate_cost(r, logs), Q.explain(r, logs)
+    return spark.createDataFrame([("PushedFilters: [IsNotNull(ts)" in plan, cost["bytes_out"] < cost["bytes_read"], cost["filters"])], "pruned boolean, smaller boolean, filters int")
+
+
 # correlation ------------------------------------------------------------------------------------------------------------
 
 _T = 0.35
@@ -431,7 +538,7 @@ def correlate_ip(spark, sf):
 
 
 def _file_links(spark, sf):
-    return correlate.by_filename(schema.text_logs(spark, sf), schema.text_artifacts(spark, sf))
+    return scratch.materialize(correlate.by_filename(schema.text_logs(spark, sf), schema.text_artifacts(spark, sf)), "links")
 
 
 @query(f"SELECT 'correlation' AS field, CAST(target_id AS VARCHAR) AS value, string_agg(source_id, ',' ORDER BY source_id) AS refs FROM (SELECT DISTINCT source_id, target_id FROM ({_CF})) GROUP BY 2")
@@ -472,8 +579,9 @@ def logs_for_hash(spark, sf):
 # hash chains ------------------------------------------------------------------------------------------------------------
 
 _ROWS = "SELECT user_id AS chain, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS seq, sha256(props) AS data_hash FROM events"
-_CHAIN = f"""WITH RECURSIVE e AS MATERIALIZED ({_ROWS}), n(chain, seq, data_hash, prev_hash, hash) AS (SELECT chain, seq, data_hash, CAST(NULL AS VARCHAR), sha256(data_hash || '|' || seq) FROM e WHERE seq = 0
- UNION ALL SELECT e.chain, e.seq, e.data_hash, n.hash, sha256(n.hash || '|' || e.data_hash || '|' || e.seq) FROM n JOIN e ON e.chain = n.chain AND e.seq = n.seq + 1)"""
+_LE = "unhex(" + " || ".join(f"substr(printf('%016x', e.seq), {15 - 2 * i}, 2)" for i in range(8)) + ")"
+_CHAIN = f"""WITH RECURSIVE e AS MATERIALIZED ({_ROWS}), n(chain, seq, data_hash, prev_hash, hash) AS (SELECT chain, seq, data_hash, CAST(NULL AS VARCHAR), sha256(encode(data_hash) || {_LE}) FROM e WHERE seq = 0
+ UNION ALL SELECT e.chain, e.seq, e.data_hash, n.hash, sha256(encode(n.hash || '|' || e.data_hash) || {_LE}) FROM n JOIN e ON e.chain = n.chain AND e.seq = n.seq + 1)"""
 
 
 def _records(spark, sf):
@@ -528,6 +636,27 @@ def wal_iter_from(spark, sf):
     return chain.read_from(schema.events(spark, sf).select(F.col("id").alias("seq"), F.col("meta").alias("data")), 90, inclusive=False)
 
 
+@query("SELECT event_id AS seq, CASE WHEN event_id % 100 = 7 THEN 'crc' ELSE 'gap' END AS reason FROM events WHERE event_id % 100 IN (7, 51) AND event_id % 100 <> 50")
+def chain_damaged(spark, sf):
+    """Every hundredth record's bytes changed, another's predecessor missing."""
+    e = schema.events(spark, sf).where("id % 100 <> 50").select(F.col("id").alias("seq"), F.col("meta").alias("data"))
+    e = e.withColumn("crc", F.crc32(F.col("data").cast("binary")))
+    return chain.damaged(e.withColumn("data", F.when(F.col("seq") % 100 == 7, F.concat("data", F.lit("!"))).otherwise(F.col("data"))))
+
+
+@query("SELECT event_id AS seq FROM events WHERE event_id >= 500 OR event_id // 100 = (SELECT max(event_id // 100) FROM events)")
+def wal_truncate(spark, sf):
+    e = schema.events(spark, sf).select(F.col("id").alias("seq"), F.floor(F.col("id") / 100).alias("file"))
+    return chain.truncate(e, 500).select("seq")
+
+
+@query("SELECT event_id AS seq, CAST((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 5 AS BIGINT) AS file FROM events")
+def wal_rotation(spark, sf):
+    """A new log file of each host after five entries."""
+    e = schema.events(spark, sf).select(F.col("host").cast("string").alias("stream"), F.col("id").alias("seq"), F.lit(0).alias("ts_ms"), F.lit(1).alias("bytes"))
+    return partition.rotation(e, 1 << 30, 5).select("seq", "file")
+
+
 # versions, compaction, statistics ---------------------------------------------------------------------------------------
 
 
@@ -609,6 +738,25 @@ def hash_hex(spark, sf):
     return a.select("id", F.lower(F.hex(S.parse_hash(F.col("hash")))).alias("hash"), S.parse_hash(F.col("hash")).isNotNull().alias("valid"))
 
 
+@query("SELECT event_id AS id, lower(printf('%016x', event_id * 1000003) || printf('%016x', event_id)) AS digits, event_id * 1000003 AS hi, event_id AS lo FROM events")
+def fn_uuid(spark, sf):
+    """Halves to text and back."""
+    e = schema.events(spark, sf).select("id", I.pair_to_uuid(F.col("id") * 1000003, F.col("id")).alias("u"))
+    back = I.uuid_to_pair(F.col("u"))
+    return e.select("id", F.regexp_replace("u", "-", "").alias("digits"), back["hi"].cast("long").alias("hi"), back["lo"].cast("long").alias("lo"))
+
+
+@query()
+def fn_pbkdf2(spark, sf):
+    t = schema.text_artifacts(spark, sf)
+    return t.select("id", I.derive_key(F.col("hash"), F.lit("salt"), 10).alias("key"))
+
+
+@query()
+def fn_blake3(spark, sf):
+    return schema.text_logs(spark, sf).select("id", chain.blake3_hex(F.col("raw")).alias("hash"))
+
+
 @query()
 def fn_crc32(spark, sf):
     return schema.text_logs(spark, sf).select("id", F.crc32(F.col("raw").cast("binary")).alias("crc"))
@@ -682,8 +830,8 @@ def ingest_validate(spark, sf):
 
 @query("SELECT vec_id AS id, CAST(8 AS BIGINT) AS dim, CAST(0 AS DOUBLE) AS total FROM embeddings")
 def embed_noop(spark, sf):
-    v = schema.vectors(spark, sf).select("id", F.array_repeat(F.lit(0.0), 8).alias("vec"))
-    return v.select("id", F.size("vec").cast("long").alias("dim"), F.aggregate("vec", F.lit(0.0), lambda s, x: s + x).alias("total"))
+    v = ingest.embed(schema.vectors(spark, sf).select("id", F.lit("any text").alias("t")), "t", ingest.NoOpEmbedder(8))
+    return v.select("id", F.size("vec").cast("long").alias("dim"), F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double")).alias("total"))
 
 
 @query()
@@ -745,3 +893,17 @@ def stream_restart(spark, sf):
     more.write.mode("append").parquet(f"{path}/in")
     stream.run_once(s, f"{path}/out", f"{path}/checkpoint")
     return spark.read.parquet(f"{path}/out").select("id", "event_type")
+
+
+@query("SELECT epoch_ms(time_bucket(INTERVAL '6 hours', ts)) AS start_ms, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_windows(spark, sf):
+    """Tumbling windows of a stream: events come in order of time, so none is late; a last event closes all windows."""
+    path = _scratch(spark, "windows")
+    e = schema.events(spark, sf).select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    e.orderBy("ts").coalesce(1).write.parquet(f"{path}/in")
+    end = e.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"))
+    end.select("ts", F.lit("end").alias("event_type")).write.mode("append").parquet(f"{path}/in")
+    s = stream.windowed(stream.read_files(spark, f"{path}/in", "ts timestamp, event_type string", 100), "ts", "6 hours", "20 days", "event_type")
+    stream.run_once(s, f"{path}/out", f"{path}/checkpoint")
+    out = spark.read.parquet(f"{path}/out").where("event_type <> 'end'")
+    return out.select((F.unix_seconds("w.start") * 1000).alias("start_ms"), "event_type", "n")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from secspark.operators import correlate
+from secspark.operators.chain import next_hash
 
 
 def read_files(spark: SparkSession, path: str, schema: str, per_trigger: int = 1, fmt: str = "parquet") -> DataFrame:
@@ -56,7 +56,7 @@ def chained(stream: DataFrame) -> DataFrame:
         f = pd.concat(list(frames)).sort_values("seq")
         out = []
         for s, d in zip(f["seq"], f["data_hash"], strict=True):
-            h = hashlib.sha256(f"{head + '|' if head else ''}{d}|{s}".encode()).hexdigest()
+            h = next_hash(head, d, s)
             out.append((key[0], s, d, head, h))
             head = h
         state.update((head,))

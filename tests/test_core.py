@@ -152,3 +152,126 @@ def test_formats(spark):
         assert (r[0]["ip"], r[0]["host"], r[0]["valid"], r[1]["valid"]) == ("1.2.3.4", "h1", True, False)
     a = ingest.artifacts_from_json(spark.createDataFrame([('{"hash_sha256":"%s","file_type":"PE"}' % ("ab" * 32),), ('{"hash_sha256":"ab"}',)], "value string")).collect()
     assert a[0]["error"] is None and a[0]["file_type"] == "PE" and a[1]["error"]
+
+
+def test_blake3():
+    # published test vectors
+    from secspark.functions.blake3 import blake3
+
+    text = lambda n: bytes(i % 251 for i in range(n))
+    want = {0: "af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262", 1024: "42214739f095a406f3fc83deb889744a", 1025: "d00278ae47eb27b34faecf67b4fe263f", 2048: "e776b6028c7cd22a4d0ba182a8bf6220", 3073: "7124b49501012f81cc7f11ca069ec922"}
+    got = blake3([text(n) for n in want])
+    assert all(g.hex().startswith(w) for g, w in zip(got, want.values(), strict=True))
+    assert blake3([b"abc"])[0].hex() == "6437b3ac38465133ffb63b75273a8db548c558465d79db03fd359c6cd5bd9d85" and blake3([]) == []
+
+
+def test_chain_layout(spark):
+    import hashlib
+
+    from secspark.functions.blake3 import blake3
+
+    rows = spark.createDataFrame([(1, i, f"e{i}") for i in range(300)], "chain long, seq long, data string")
+    for name, h in (("sha256", lambda b: hashlib.sha256(b).hexdigest()), ("blake3", lambda b: blake3([b])[0].hex())):
+        got = chain.build(rows.where("seq < 300" if name == "sha256" else "seq < 5"), name).orderBy("seq").collect()
+        prev = None
+        for r in got:
+            d = h(f"e{r['seq']}".encode())
+            own = h((f"{prev}|" if prev else "").encode() + d.encode() + r["seq"].to_bytes(8, "little"))
+            assert (r["data_hash"], r["prev_hash"], r["hash"]) == (d, prev, own)
+            prev = own
+    assert chain.verify(chain.build(rows)).count() == 0
+
+
+def test_both_paths_of_correlation_agree(spark, monkeypatch):
+    h = "0123456789abcdef" + "0" * 48
+    logs = spark.createDataFrame([(1, f"x {h} y", ""), (2, h.upper(), None), (3, None, f"file evil.exe {h[:16]}"), (4, "evil.ex", "a.b"), (5, "", ""), (6, "ééééé", "evil.exe")], "id long, raw string, meta string")
+    art = spark.createDataFrame([(1, h, ["evil.exe", "ab"]), (2, h.upper(), ["ééé", "evil.ex"]), (3, "not a hash at all", ["evil.exe"]), (4, None, None), (5, "ff", [None, ""])], "id long, hash string, strings array<string>")
+    got = {}
+    for bound in (correlate.SHIPPED_STRINGS, 0):
+        monkeypatch.setattr(correlate, "SHIPPED_STRINGS", bound)
+        got[bound] = [sorted((r["source_id"], r["target_id"]) for r in f(logs, art).collect()) for f in (correlate.by_hash, correlate.by_filename)]
+    assert got[0] == got[50_000] == [[(1, 1), (1, 2), (3, 1), (3, 2)], [(3, 1), (3, 2), (3, 3), (4, 2), (6, 1), (6, 2), (6, 3)]]
+
+
+def test_identity_and_keys(spark):
+    import hashlib
+    import uuid
+
+    from secspark.functions import identity
+
+    ids = [uuid.uuid4() for _ in range(20)] + [uuid.UUID(int=0), uuid.UUID(int=2**128 - 1)]
+    rows = spark.createDataFrame([(str(u),) for u in ids] + [("no",), (None,)], "u string").withColumn("p", identity.uuid_to_pair(F.col("u")))
+    got = {r["u"]: (r["p"], r["b"]) for r in rows.withColumn("b", identity.pair_to_uuid(F.col("p.hi"), F.col("p.lo"))).collect()}
+    assert all((int(got[str(u)][0]["hi"]), int(got[str(u)][0]["lo"]), got[str(u)][1]) == (u.int >> 64, u.int & (2**64 - 1), str(u)) for u in ids) and got["no"][0] is None
+    k = spark.createDataFrame([("pw", "s"), (None, "s")], "p string, s string").select(identity.derive_key(F.col("p"), F.col("s"), 7).alias("k")).collect()
+    assert [r["k"] for r in k] == [hashlib.pbkdf2_hmac("sha256", b"pw", b"s", 7, 32).hex(), None]
+
+
+def test_flow():
+    from secspark import flow
+    from secspark.errors import InvalidQuery, StorageError
+
+    waits, fails = [], [StorageError("x"), StorageError("y")]
+
+    def run():
+        if fails:
+            raise fails.pop()
+        return 5
+
+    assert flow.retry(run, 3, 1, 60, waits.append) == 5 and waits == [1, 2]
+    fails[:] = [InvalidQuery("no")]
+    with pytest.raises(InvalidQuery):
+        flow.retry(run, 3, 0, 0, waits.append)
+    now = [0.0]
+    r = flow.RateLimiter(2, 1, lambda: now[0])
+    r.acquire(), r.acquire()
+    with pytest.raises(StorageError):
+        r.acquire()
+    now[0] = 1.0
+    r.acquire()
+    c = flow.Config.of('{"storage": {"codec": "snappy"}, "api": {"top_k": 3}}')
+    assert (c.storage.codec, c.api.top_k, c.index.exact_below) == ("snappy", 3, 1000) and flow.Config.of(c.text()) == c
+    with pytest.raises(InvalidQuery):
+        flow.Config.of('{"storage": {"colour": 1}}')
+
+
+def test_store_versions(spark, tmp_path):
+    from secspark.errors import InvalidQuery, StorageError
+
+    s = store.Store(spark, f"file://{tmp_path}/s")
+    with pytest.raises(StorageError):
+        s.read("logs")
+    with pytest.raises(InvalidQuery):
+        store.Store(spark, "x", "lz77")
+    for n in (1, 2):
+        s.append("logs", spark.createDataFrame([(i, n, f"{n}") for i in range(5)], "id long, seq int, v string"))
+    assert s.compact("logs") == {"read": 10, "kept": 5, "dropped": 5} and {r["v"] for r in s.read("logs").collect()} == {"2"}
+    s.append("logs", spark.createDataFrame([(9, 3, "3")], "id long, seq int, v string"))
+    assert s.compact("logs")["kept"] == 6 and s.files("logs").agg(F.sum("rows")).first()[0] == 6
+    assert [r["kind"] for r in s.get_any(9, ("logs",)).collect()] == ["logs"]
+
+
+def test_vector_index_of_clusters(spark, tmp_path):
+    import numpy as np
+
+    from secspark.operators import ann
+
+    rnd = np.random.default_rng(3)
+    centers = rnd.normal(size=(30, 16))
+    x = centers[rnd.integers(0, 30, 3000)] + 0.1 * rnd.normal(size=(3000, 16))
+    v = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "id long, vec array<float>")
+    model = ann.fit(v)
+    table = ann.store(model, v, f"file://{tmp_path}/i")
+    model = ann.calibrate(model, table)
+    assert len(model.centers) == 54 and model.nprobe <= 12 and table.count() == 3000
+    small = model.assign(v).select("id", "cell").exceptAll(table.select("id", "cell")).count()
+    assert small <= 3  # ties of rounding
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cell = ((u[:, None] - model.centers[None]) ** 2).sum(axis=2).argmin(axis=1)
+    nearest = np.argsort(-(u @ u.T), axis=1, kind="stable")[:, :10]
+    recall = np.mean([np.isin(cell[nearest[q]], model.cells(x[q])).mean() for q in range(3000)])
+    print(model.nprobe, recall)
+    assert recall >= 0.9
+    for q in (0, 7):
+        got = {r["id"] for r in ann.ann_search(model, table, list(x[q]), 10).collect()}
+        assert {i for i in nearest[q].tolist() if cell[i] in model.cells(x[q])} <= got

@@ -1,21 +1,9 @@
 """Recall of the approximate search at its defaults."""
 
-import numpy as np
-
-from secspark.operators import ann
-from secspark.sources import schema
+from secspark.plans import catalog
 
 
 def test_recall_at_ten(spark):
-    v = schema.vectors(spark, "/root/testdata/sf0.1")
-    x = np.array([r["vec"] for r in v.orderBy("id").collect()])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    model = ann.fit(v)
-    cell = ((x[:, None] - model.centers[None]) ** 2).sum(axis=2).argmin(axis=1)
-
-    def recall(nprobe):
-        hits = [np.isin(cell[np.argsort(-(x @ q), kind="stable")[:10]], model.cells(q, nprobe)).mean() for q in x[::20]]
-        return float(np.mean(hits))
-
-    print("recall@10 with 8 cells:", recall(8), "default:", recall(ann.ann_search.__defaults__[0]))
-    assert recall(ann.ann_search.__defaults__[0]) >= 0.9 and recall(ann.hybrid_search.__defaults__[-1]) >= 0.9
+    recall = catalog.recall_at_ten(spark, "/root/testdata/sf0.1").first()["recall"]
+    print("recall@10:", recall)
+    assert recall >= 0.9
