@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from secspark.llm.common import columns, free_names, materialize, read_table, sized_broadcast
 
 WEIGHTS = (3.0, 1.0, 2.0)
+#: Words of a part of a shard.
+PART = 1_000_000
 #: Step of the permutation of blocks; coprime to any count that it doesn't divide.
 PRIME = 7919
 
@@ -130,16 +132,21 @@ def copy_shard(shard: Column, copy: Column, shards: int, max_epochs: int) -> Col
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", shards: int = 64, max_epochs: int = 2, **options) -> DataFrame:
     """``docs`` as mixed: rows not taken go, rows taken twice come twice; the columns stay. Each shard's rows lie together, in
-    the shard's order. Rows that share id and source are taken alike, as often as the most taken of them."""
+    the shard's order (of a large shard, part after part). Rows that share id and source are taken alike, as often as the most taken of them."""
     plan = mix_sources(docs, id_col=id_col, source_col=source_col, text_col=text_col, shards=shards, max_epochs=max_epochs, **options)
-    own_id, own_source, m, copy, shard, order = free_names(docs, "m_id", "m_source", "m", "m_copy", "m_shard", "m_order")
-    best = F.max(F.struct("copies", "shard", "shard_order")).alias(m)
-    plan = plan.groupBy(F.col("doc_id").alias(own_id), F.col("source").alias(own_source)).agg(best).where(F.col(m)["copies"] > 0)
+    own_id, own_source, m, copy, shard, order, part = free_names(docs, "m_id", "m_source", "m", "m_copy", "m_shard", "m_order", "m_part")
+    best = F.max(F.struct("copies", "shard", "shard_order", "taken")).alias(m)
+    plan = materialize(plan.groupBy(F.col("doc_id").alias(own_id), F.col("source").alias(own_source)).agg(best).where(F.col(m)["copies"] > 0), "plan")
+    # a shard is dealt in parts, ranges of its order, so that a task's rows don't grow with the input
+    words = plan.agg(F.sum(F.col(m)["taken"])).first()[0] or 0
+    parts = max(1, -(-words // (shards * PART)))
     both = docs.join(plan, docs[id_col].cast("long").eqNullSafe(F.col(own_id)) & docs[source_col].cast("string").eqNullSafe(F.col(own_source)))
     copies = both.select(*columns(docs), m, F.explode(F.sequence(F.lit(1), F.col(m)["copies"])).alias(copy))
     place = F.when(F.col(copy) == 1, F.col(m)["shard_order"]).otherwise(F.xxhash64(F.col(m)["shard_order"], copy))
     placed = copies.withColumn(shard, copy_shard(F.col(m)["shard"], F.col(copy), shards, max_epochs)).withColumn(order, place)
-    return placed.repartition(shard).sortWithinPartitions(shard, order).drop(m, copy, shard, order)
+    unit = F.shiftrightunsigned(F.col(order).bitwiseXOR(F.lit(-(1 << 63))), 11).cast("double") / F.lit(float(1 << 53))
+    placed = placed.withColumn(part, F.least(F.floor(unit * parts), F.lit(parts - 1)))
+    return placed.repartition(shard, part).sortWithinPartitions(shard, part, order).drop(m, copy, shard, order, part)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -521,6 +521,15 @@ def test_mixed_rows_leave_by_shard(spark):
     assert not any(want.values())
 
 
+def test_mixed_rows_of_large_shards(spark, monkeypatch):
+    rnd = random.Random(6)
+    rows = [(i, " ".join(words(rnd, rnd.choice([1, 5, 30]))), ["a", "b", None][i % 3]) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    whole = mixing.mixed_rows(d, shards=4, rows_per_block=5).collect()
+    monkeypatch.setattr(mixing, "PART", 50)
+    assert Counter(mixing.mixed_rows(d, shards=4, rows_per_block=5).collect()) == Counter(whole)
+
+
 def test_packing(docs, empty):
     enc = encoder(vocabulary_path())
     got = packing.pack(docs).collect()
