@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from secspark.errors import StorageError
 from secspark.functions import vectors as V
 from secspark.operators import correlate, partition, search
 from secspark.operators.query import QueryRequest, TimeRange
 from secspark.operators.store import Store
+from secspark.scratch import materialize
 
 
 class Client:
@@ -35,16 +37,27 @@ class Client:
     def query(self, request: QueryRequest) -> DataFrame:
         return request.run(self.events())
 
+    def artifacts(self) -> DataFrame:
+        return self.store.read("artifacts")
+
+    def kinds(self) -> tuple[str, ...]:
+        """Those of events and artifacts that the store has."""
+        return tuple(k for k in ("logs", "artifacts") if self.store.has(k))
+
     def find_similar(self, vector, k: int = 10) -> DataFrame:
         """The nearest among events and artifacts: ``(kind, id, score)``."""
-        return search.similar_of_kinds({k: self.store.read(k) for k in ("logs", "artifacts")}, V.literal(vector), k)
+        kinds = self.kinds()
+        if not kinds:
+            raise StorageError(f"no vectors in {self.store.path}")
+        return search.similar_of_kinds({name: self.store.read(name) for name in kinds}, V.literal(vector), k)
 
     def lookup(self, id_) -> DataFrame:
         """``(kind, id, record)`` of whatever has the id; the newest of each kind."""
-        return self.store.get_any(id_, ("logs", "artifacts"), "ts_ms")
+        return self.store.get_any(id_, self.kinds(), "ts_ms")
 
     def correlate(self, **options) -> DataFrame:
-        rows = correlate.correlate_all(self.events(), self.store.read("artifacts"), **options)
+        """The correlations found by this run; they and their links are appended to the store."""
+        rows = materialize(correlate.correlate_all(self.events(), self.artifacts(), **options), "correlations")
         self.store.append("correlations", rows)
         self.store.append("links", correlate.index_entries(rows))
         return rows

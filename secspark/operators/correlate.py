@@ -56,9 +56,9 @@ def _contained(strings):
 
 def _containing(logs: DataFrame, strings: DataFrame) -> DataFrame:
     """Pairs of ``logs (id, raw, meta)`` and shipped ``strings (target_id, s)``, each once."""
-    text = logs.select(F.col("id").cast("long").alias("source_id"), "raw", "meta")
+    text = logs.select(F.col("id").alias("source_id"), "raw", "meta")
     side = logs.sparkSession.sparkContext.broadcast([(r["target_id"], r["s"]) for r in strings.collect()])
-    return text.mapInPandas(_contained(side), "source_id long, target_id long")
+    return text.mapInPandas(_contained(side), f"source_id {search.id_type(text, 'source_id')}, target_id {search.id_type(strings, 'target_id')}")
 
 
 def _shipped(strings: DataFrame, col: str) -> bool:
@@ -79,18 +79,18 @@ def by_hash(logs: DataFrame, artifacts: DataFrame) -> DataFrame:
     runs = F.concat(*[F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(f"[0-9a-f]{{{SHORT},}}"), F.lit(0)) for c in ("raw", "meta")])
     cut = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - (SHORT - 1)), lambda i: F.substring(r, i, F.lit(SHORT)))
     # windows are made distinct inside their row; pairs are few, so they are what is shuffled
-    windows = logs.select(F.col("id").cast("long").alias("source_id"), F.explode(F.array_distinct(F.flatten(F.transform(runs, cut)))).alias("short"))
-    return _rows(windows.join(hashes, "short").select("source_id", F.col("target_id").cast("long").alias("target_id")).distinct(), "HashMatch", F.lit(1.0))
+    windows = logs.select(F.col("id").alias("source_id"), F.explode(F.array_distinct(F.flatten(F.transform(runs, cut)))).alias("short"))
+    return _rows(windows.join(hashes, "short").select("source_id", "target_id").distinct(), "HashMatch", F.lit(1.0))
 
 
 def by_filename(logs: DataFrame, artifacts: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """Strings of at least five bytes inside a log's text or metadata, one row for each pair. Few strings are shipped; else
     windows of a text, without the text, meet the strings' heads, and only texts with such a pair are read again."""
-    strings = artifacts.select(F.col("id").cast("long").alias("target_id"), F.explode("strings").alias("s")).where(F.octet_length("s") >= least).distinct()
+    strings = artifacts.select(F.col("id").alias("target_id"), F.explode("strings").alias("s")).where(F.octet_length("s") >= least).distinct()
     if _shipped(strings, "s"):
         return _rows(_containing(logs, strings).distinct(), "FilenameMatch", F.lit(0.9))
     heads = strings.withColumn("n", F.least(F.length("s"), F.lit(least)).cast("int")).withColumn("head", F.substring("s", F.lit(1), F.col("n")))
-    texts = logs.select(F.col("id").cast("long").alias("source_id"), F.explode(F.array(F.coalesce("raw", F.lit("")), F.coalesce("meta", F.lit("")))).alias("t"))
+    texts = logs.select(F.col("id").alias("source_id"), F.explode(F.array(F.coalesce("raw", F.lit("")), F.coalesce("meta", F.lit("")))).alias("t"))
     cut = lambda n: F.transform(F.sequence(F.lit(1), F.length("t") - n + 1), lambda i: F.struct(F.lit(n).alias("n"), F.substring(F.col("t"), i, F.lit(n)).alias("head")))
     none = F.expr("cast(array() as array<struct<n:int,head:string>>)")
     windows = F.flatten(F.array(*[F.when(F.length("t") >= n, F.array_distinct(cut(n))).otherwise(none) for n in range(1, least + 1)]))
@@ -152,7 +152,7 @@ def link_code_to_logs(artifacts: DataFrame, links: DataFrame) -> tuple[DataFrame
     """``links (id, refs)`` appended to ``related_logs`` without repeats, and the reverse hash entries."""
     new = links.groupBy("id").agg(F.flatten(F.collect_list("refs")).alias("refs"))
     both = artifacts.join(new, "id", "left")
-    out = both.withColumn("related_logs", F.array_sort(F.array_union("related_logs", F.coalesce("refs", F.expr("array()").cast("array<bigint>"))))).drop("refs")
+    out = both.withColumn("related_logs", F.array_sort(F.array_union("related_logs", F.coalesce("refs", F.expr("array()").cast(both.schema["refs"].dataType))))).drop("refs")
     entries = both.where("refs is not null").select(F.lit("hash").alias("field"), F.col("hash").alias("value"), F.array_sort(F.array_distinct("refs")).alias("refs"))
     return out, entries
 

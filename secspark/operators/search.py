@@ -47,6 +47,19 @@ def _unit(vecs) -> np.ndarray:
     return np.divide(a, n, out=np.zeros_like(a), where=n > 0)
 
 
+def id_type(df: DataFrame, col: str = "id") -> str:
+    """The SQL name of an id's type; ids may be numbers or text."""
+    return df.schema[col].dataType.simpleString()
+
+
+def _by_length(a: pd.DataFrame, b: pd.DataFrame):
+    """Rows of both frames whose vectors have the same length; those of other lengths have no similarity."""
+    la, lb = a["vec"].map(len), b["vec"].map(len)
+    for n in np.intersect1d(la.unique(), lb.unique()):
+        if n:
+            yield a[la == n], b[lb == n]
+
+
 def _blocks(left: DataFrame, right: DataFrame, found, schema: str, rows: int) -> DataFrame:
     """Every left block meets every right block in a task of its own; ``found`` turns two frames into rows."""
     nl, nr = (max(1, -(-d.count() // rows)) for d in (left, right))
@@ -76,14 +89,16 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
     """``(a, b, score)`` of all pairs with cosine >= ``threshold``; both sides are ``(id, vec)``. Only these pairs leave a task."""
 
     def found(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        s = _unit(a["vec"]) @ _unit(b["vec"]).T
-        i, j = np.nonzero(s >= threshold)
-        return pd.DataFrame({"a": a["id"].to_numpy()[i], "b": b["id"].to_numpy()[j], "score": s[i, j]})
+        out = [pd.DataFrame({"a": a["id"].iloc[:0], "b": b["id"].iloc[:0], "score": pd.Series(dtype="float64")})]
+        for x, y in _by_length(a, b):
+            s = _unit(x["vec"]) @ _unit(y["vec"]).T
+            i, j = np.nonzero(s >= threshold)
+            if len(i):
+                out.append(pd.DataFrame({"a": x["id"].to_numpy()[i], "b": y["id"].to_numpy()[j], "score": s[i, j]}))
+        return pd.concat(out[1:]) if len(out) > 1 else out[0]
 
     left, right = (d.where("vec is not null").select("id", "vec") for d in (left, right))
-    schema = "a long, b long, score double"
+    schema = f"a {id_type(left)}, b {id_type(right)}, score double"
     small = right.limit(WHOLE_ROWS + 1).count() <= WHOLE_ROWS
     return _whole(left, right, found, schema) if small else _blocks(left, right, found, schema, BLOCK_ROWS)
 
@@ -92,18 +107,18 @@ def knn_batch(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """``(query, id, score, rank)``: cosine top ``k`` of each query; each block keeps its own k first."""
 
     def found(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(v) or not len(q):
-            return pd.DataFrame({"query": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        s = _unit(q["vec"]) @ _unit(v["vec"]).T
-        ids = v["id"].to_numpy()
         out = []
-        for row, qid in zip(s, q["id"], strict=True):
-            top = np.lexsort((ids, -row))[:k]
-            out.append(pd.DataFrame({"query": qid, "id": ids[top], "score": row[top]}))
-        return pd.concat(out)
+        for x, y in _by_length(v, q):
+            s = _unit(y["vec"]) @ _unit(x["vec"]).T
+            ids = x["id"].to_numpy()
+            order = np.unique(ids, return_inverse=True)[1]
+            for row, qid in zip(s, y["id"], strict=True):
+                top = np.lexsort((order, -row))[:k]
+                out.append(pd.DataFrame({"query": qid, "id": ids[top], "score": row[top]}))
+        return pd.concat(out) if out else pd.DataFrame({"query": q["id"].iloc[:0], "id": v["id"].iloc[:0], "score": pd.Series(dtype="float64")})
 
-    schema = "query long, id long, score double"
     queries, vectors = (d.where("vec is not null").select("id", "vec") for d in (queries, vectors))
+    schema = f"query {id_type(queries)}, id {id_type(vectors)}, score double"
     small = queries.limit(WHOLE_ROWS + 1).count() <= WHOLE_ROWS
     part = _whole(vectors, queries, found, schema) if small else _blocks(vectors, queries, found, schema, BLOCK_ROWS)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id"))

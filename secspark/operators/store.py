@@ -48,12 +48,17 @@ class Store:
             raise StorageError(f"no {kind} in {self.path}")
         return self.spark.read.parquet(folder)
 
+    def has(self, kind: str) -> bool:
+        return exists(self.spark, self._folder(kind))
+
     def get(self, kind: str, id_) -> DataFrame:
         """Rows of one kind with an id; files without it are skipped by their bloom filters and statistics."""
         return self.read(kind).where(F.col("id") == id_)
 
     def get_any(self, id_, kinds: tuple[str, ...], version: str = "seq") -> DataFrame:
         """``(kind, id, record)``: the newest row with an id in each of the kinds, as JSON."""
+        if not kinds:
+            raise StorageError(f"no records in {self.path}")
         found = [latest(self.get(k, id_), "id", version).select(F.lit(k).alias("kind"), "id", F.to_json(F.struct("*")).alias("record")) for k in kinds]
         out = found[0]
         for f in found[1:]:
