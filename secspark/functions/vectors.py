@@ -53,6 +53,11 @@ def dot_sq8(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("int") * y.cast("int")), F.lit(0), lambda s, x: s + x)
 
 
+def usable(vec: Column) -> Column:
+    """Whether a vector has elements, and all of them are numbers."""
+    return (F.size(vec) > 0) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x))
+
+
 def literal(v) -> Column:
     """A Python vector as a constant column."""
     return F.array(*[F.lit(float(x)) for x in v])

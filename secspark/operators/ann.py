@@ -4,6 +4,10 @@ Cells number about the square root of the rows (16 to 4096) and are fitted on a
 table partitioned by cell, so that a search reads its cells alone. ``calibrate`` measures the cells of the true nearest
 neighbours of sample queries and sets ``nprobe`` to the fewest cells that hold ``TARGET`` of them: vectors without
 structure need most cells, clustered ones few.
+
+Cases: an index holds vectors of one length, the most frequent one; rows with vectors that are null, of another length or with
+elements that are no numbers are left out, and a query of another length finds nothing. A table without vectors gives a model
+without cells. Repeated rows and null ids are rows like others; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,16 +37,23 @@ class CellModel:
 
     def cells(self, query, nprobe: int | None = None) -> list[int]:
         nprobe = nprobe or self.nprobe or len(self.centers)
+        if len(query) != self.centers.shape[1]:
+            return []
         q = np.asarray(query, float)
         q = q / (np.linalg.norm(q) or 1.0)
         d = ((self.centers - q) ** 2).sum(axis=1)
         return [int(i) for i in np.argsort(d, kind="stable")[:nprobe]]
 
+    def _indexable(self, vectors: DataFrame) -> DataFrame:
+        return vectors.where((F.size("vec") == self.centers.shape[1]) & V.usable(F.col("vec"))).select("id", "vec")
+
     def assign(self, vectors: DataFrame) -> DataFrame:
         """``(id, vec, cell)``: the nearest centre of each normalised vector."""
+        if not len(self.centers):
+            return self._indexable(vectors).withColumn("cell", F.lit(0))
         unit = V.normalized(F.col("vec"))
         d = F.array(*[F.struct(V.l2_squared(unit, V.literal(c)).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(self.centers)])
-        return vectors.where("vec is not null").select("id", "vec", F.array_min(d)["i"].alias("cell"))
+        return self._indexable(vectors).select("id", "vec", F.array_min(d)["i"].alias("cell"))
 
     def assign_arrow(self, vectors: DataFrame) -> DataFrame:
         """As ``assign``, by matrix products in Arrow batches: for many cells."""
@@ -60,7 +71,7 @@ class CellModel:
                     cell = (unit @ centers.T - half).argmax(axis=1)
                     yield pa.RecordBatch.from_arrays([part.column("id"), part.column("vec"), pa.array(cell.astype(np.int32))], ["id", "vec", "cell"])
 
-        rows = vectors.where("vec is not null").select("id", "vec")
+        rows = self._indexable(vectors)
         return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, vec {rows.schema['vec'].dataType.simpleString()}, cell int")
 
     def save(self, spark: SparkSession, path: str) -> None:
@@ -70,13 +81,17 @@ class CellModel:
     @staticmethod
     def load(spark: SparkSession, path: str) -> CellModel:
         rows = spark.read.parquet(path).orderBy("cell").collect()  # one row for each cell
-        return CellModel(np.array([r["center"] for r in rows]), rows[0]["nprobe"])
+        return CellModel(np.array([r["center"] for r in rows]), rows[0]["nprobe"]) if rows else NO_CELLS
+
+
+NO_CELLS = CellModel(np.zeros((0, 0)))
 
 
 def store(model: CellModel, vectors: DataFrame, path: str) -> DataFrame:
     """Write the index, partitioned by cell, and read it."""
-    model.assign_arrow(vectors).repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(path)
-    return vectors.sparkSession.read.parquet(path)
+    rows = model.assign_arrow(vectors)
+    rows.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(path)
+    return vectors.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def calibrate(model: CellModel, indexed: DataFrame, k: int = 10, target: float = TARGET, queries: int = QUERIES) -> CellModel:
@@ -93,10 +108,14 @@ def calibrate(model: CellModel, indexed: DataFrame, k: int = 10, target: float =
 
 
 def fit(vectors: DataFrame, cells: int | None = None, seed: int = 7, fit_rows: int = FIT_ROWS) -> CellModel:
-    n = vectors.count()
+    vectors = vectors.where(V.usable(F.col("vec")))
+    sizes = vectors.groupBy(F.size("vec").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first()
+    if sizes is None:
+        return NO_CELLS
+    vectors, n = vectors.where(F.size("vec") == sizes["size"]), sizes["n"]
     cells = cells or min(MOST_CELLS, max(LEAST_CELLS, int(np.sqrt(n))))
     rows = vectors if n <= fit_rows else vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(fit_rows / n * (1 << 20)))
-    unit = rows.where("vec is not null").select(array_to_vector(V.normalized(F.col("vec"))).alias("features"))
+    unit = rows.select(array_to_vector(V.normalized(F.col("vec"))).alias("features"))
     return CellModel(np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(unit).clusterCenters()))
 
 

@@ -4,8 +4,9 @@
 little-endian bytes, the first node without a predecessor. H is SHA-256, which runs in the JVM, or BLAKE3
 (``functions.blake3``), which runs in Arrow batches.
 
-Cases: null data has a null data hash and breaks a chain's fold (an error); rows repeating a sequence are nodes one after
-the other; no rows give no nodes and no violations.
+Cases: null data counts as empty; a row without a sequence is in no chain; rows repeating a sequence are nodes one after the
+other; a null chain is a chain like others, and chains may be named by any type; a node without a hash is a violation; no rows
+give no nodes and no violations; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -59,12 +60,10 @@ def _fold(algorithm: str):
 def build(rows: DataFrame, algorithm: str = "sha256") -> DataFrame:
     """``rows (chain, seq, data)`` to nodes ``(chain, seq, data_hash, prev_hash, hash)``; data hashes are made in parallel, and the
     fold streams over sorted rows."""
-    if algorithm == "sha256":
-        hashed = rows.select("chain", "seq", F.sha2(F.col("data").cast("binary"), 256).alias("data_hash"))
-    else:
-        hashed = rows.select("chain", "seq", blake3_hex(F.col("data")).alias("data_hash"))
-    hashed = hashed.select(F.col("chain").cast("long"), F.col("seq").cast("long"), "data_hash")
-    return hashed.repartition("chain").sortWithinPartitions("chain", "seq").mapInArrow(_fold(algorithm), "chain long, seq long, data_hash string, prev_hash string, hash string")
+    data = F.coalesce(F.col("data").cast("binary"), F.lit(b""))
+    data_hash = F.sha2(data, 256) if algorithm == "sha256" else blake3_hex(data)
+    hashed = rows.where("seq is not null").select("chain", F.col("seq").cast("long"), data_hash.alias("data_hash"))
+    return hashed.repartition("chain").sortWithinPartitions("chain", "seq").mapInArrow(_fold(algorithm), f"chain {rows.schema['chain'].dataType.simpleString()}, seq long, data_hash string, prev_hash string, hash string")
 
 
 def blake3_hex(data: Column) -> Column:
@@ -103,7 +102,7 @@ def verify(nodes: DataFrame, full: bool = True, from_seq: int | None = None, fro
     elif from_hash is not None:
         reason = reason.when(first & ~F.col("prev_hash").eqNullSafe(expected), "checkpoint")
     if full:
-        reason = reason.when(F.col("hash") != node_hash(F.col("prev_hash"), F.col("data_hash"), F.col("seq")), "hash")
+        reason = reason.when(F.coalesce(F.col("hash") != node_hash(F.col("prev_hash"), F.col("data_hash"), F.col("seq")), F.lit(True)), "hash")
     return n.select("chain", "seq", reason.alias("reason")).where("reason is not null")
 
 

@@ -1,12 +1,15 @@
 """Correlation of logs with artifacts by vector, hash and file name; links built from it.
 
 ``logs (id, raw, meta[, vec])``, ``artifacts (id, hash, strings[, vec])``; results ``(source_id, target_id, kind, score)``.
+
+Cases: rows with a null id take no part; null texts, hashes, strings and vectors match nothing; rows that share an id count as one
+record; empty tables give no rows. Ids may be of any type; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from secspark.operators import search
@@ -27,6 +30,7 @@ def _rows(df: DataFrame, kind: str, score) -> DataFrame:
 
 
 def by_vector(logs: DataFrame, artifacts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs over a similarity; of records that share an id every vector counts."""
     p = search.similar_pairs(logs.select("id", "vec"), artifacts.select("id", "vec"), threshold)
     return _rows(p.withColumnsRenamed({"a": "source_id", "b": "target_id"}), "VectorSimilarity", F.col("score"))
 
@@ -69,32 +73,40 @@ def _shipped(strings: DataFrame, col: str) -> bool:
     return n["n"] <= SHIPPED_STRINGS and n["bytes"] <= SHIPPED_BYTES
 
 
+def _windows(text: Column, pattern: str) -> Column:
+    """All matches of a pattern, overlapping ones too, in one pass over the text."""
+    return F.regexp_extract_all(text, F.lit(f"(?=({pattern}))"), F.lit(1))
+
+
 def by_hash(logs: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Logs that contain an artifact's short hash, the first 16 digits in lower case; hashes that don't begin with 16 hex
     digits match nothing. Few hashes are shipped; else an equi-join: a short hash occurs in a text just if it is a
     16-character window of a run of hex digits."""
+    logs, artifacts = (d.where("id is not null") for d in (logs, artifacts))
     hashes = artifacts.select(F.col("id").alias("target_id"), F.lower(F.substring("hash", 1, SHORT)).alias("short")).where(f"short rlike '^[0-9a-f]{{{SHORT}}}$'")
     if _shipped(hashes, "short"):
-        return _rows(_containing(logs, hashes.withColumnRenamed("short", "s")), "HashMatch", F.lit(1.0))
-    runs = F.concat(*[F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(f"[0-9a-f]{{{SHORT},}}"), F.lit(0)) for c in ("raw", "meta")])
-    cut = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - (SHORT - 1)), lambda i: F.substring(r, i, F.lit(SHORT)))
+        return _rows(_containing(logs, hashes.withColumnRenamed("short", "s")).distinct(), "HashMatch", F.lit(1.0))
+    found = F.concat(*[_windows(F.coalesce(F.col(c), F.lit("")), f"[0-9a-f]{{{SHORT}}}") for c in ("raw", "meta")])
     # windows are made distinct inside their row; pairs are few, so they are what is shuffled
-    windows = logs.select(F.col("id").alias("source_id"), F.explode(F.array_distinct(F.flatten(F.transform(runs, cut)))).alias("short"))
+    windows = logs.select(F.col("id").alias("source_id"), F.explode(F.array_distinct(found)).alias("short"))
     return _rows(windows.join(hashes, "short").select("source_id", "target_id").distinct(), "HashMatch", F.lit(1.0))
 
 
 def by_filename(logs: DataFrame, artifacts: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """Strings of at least five bytes inside a log's text or metadata, one row for each pair. Few strings are shipped; else
     windows of a text, without the text, meet the strings' heads, and only texts with such a pair are read again."""
+    logs, artifacts = (d.where("id is not null") for d in (logs, artifacts))
     strings = artifacts.select(F.col("id").alias("target_id"), F.explode("strings").alias("s")).where(F.octet_length("s") >= least).distinct()
     if _shipped(strings, "s"):
         return _rows(_containing(logs, strings).distinct(), "FilenameMatch", F.lit(0.9))
     heads = strings.withColumn("n", F.least(F.length("s"), F.lit(least)).cast("int")).withColumn("head", F.substring("s", F.lit(1), F.col("n")))
     texts = logs.select(F.col("id").alias("source_id"), F.explode(F.array(F.coalesce("raw", F.lit("")), F.coalesce("meta", F.lit("")))).alias("t"))
-    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length("t") - n + 1), lambda i: F.struct(F.lit(n).alias("n"), F.substring(F.col("t"), i, F.lit(n)).alias("head")))
-    none = F.expr("cast(array() as array<struct<n:int,head:string>>)")
-    windows = F.flatten(F.array(*[F.when(F.length("t") >= n, F.array_distinct(cut(n))).otherwise(none) for n in range(1, least + 1)]))
-    found = texts.select("source_id", F.explode(windows).alias("w")).join(heads, (F.col("w.n") == heads["n"]) & (F.col("w.head") == heads["head"])).select("source_id", "target_id", "s").distinct()
+    lengths = sorted(r["n"] for r in heads.select("n").distinct().collect())  # at most ``least``
+    if not lengths:
+        return _rows(heads.select(F.lit(None).cast(logs.schema["id"].dataType).alias("source_id"), "target_id"), "FilenameMatch", F.lit(0.9))
+    cut = [F.struct(F.lit(n).alias("n"), F.array_distinct(_windows(F.col("t"), f"(?s:.{{{n}}})")).alias("heads")) for n in lengths]
+    windows = texts.select("source_id", F.explode(F.array(*cut)).alias("w")).select("source_id", "w.n", F.explode("w.heads").alias("head"))
+    found = windows.join(heads, ["n", "head"]).select("source_id", "target_id", "s").distinct()
     both = found.join(texts, "source_id").where(F.col("t").contains(F.col("s")))
     return _rows(both.select("source_id", "target_id").distinct(), "FilenameMatch", F.lit(0.9))
 

@@ -90,15 +90,18 @@ class QueryRequest:
     offset: int = 0
 
     def run(self, logs: DataFrame) -> DataFrame:
-        """``logs (id, ts, meta[, vec])``; adds ``score`` and ``total_matches``; ordered by score, else time, then id."""
-        out = logs
+        """``logs (id, ts, meta[, vec])``; adds ``score`` and ``total_matches``; ordered by score, else time, then id.
+
+        A null time is in no range, null or unreadable metadata match no filter, vectors that are null, of another length or
+        with elements that are no numbers match no vector query. A column named score or total_matches is replaced."""
+        out = logs.drop("total_matches")
         if self.time_range:
             out = out.where(self.time_range.column(F.col("ts")))
         for f in self.metadata_filters:
             out = out.where(f.column(F.col("meta")))
         order = ["ts", "id"]
         if self.vector_query:
-            out = out.where(F.size("vec") == len(self.vector_query.vector)).withColumn("score", self.vector_query.score(F.col("vec")))
+            out = out.where((F.size("vec") == len(self.vector_query.vector)) & V.usable(F.col("vec"))).withColumn("score", self.vector_query.score(F.col("vec")))
             if self.vector_query.threshold is not None:
                 out = out.where(F.col("score") >= self.vector_query.threshold)
             order = [F.desc("score"), "id"]
@@ -138,10 +141,11 @@ def inverted_index(logs: DataFrame, key: str) -> DataFrame:
 
 
 def latest(df: DataFrame, key: str, version: str, first: bool = False) -> DataFrame:
-    """The row of the highest (or lowest) version of each key, by a partial aggregate instead of a sort."""
+    """The row of the highest (or lowest) version of each key, by a partial aggregate instead of a sort. A null version is
+    lower than all others; of equal versions any one row stays; a null key is a key like others."""
     rest = F.struct(*[c for c in df.columns if c != key])
     pick = F.min_by if first else F.max_by
-    return df.groupBy(key).agg(pick(rest, F.col(version)).alias("x")).select(key, "x.*")
+    return df.groupBy(key).agg(pick(rest, F.struct(version)).alias("x")).select(key, "x.*")
 
 
 def ranked(df: DataFrame, by: list, order: list, n: int) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Vector search: exact top-k, thresholds, quantised, batches and pair joins by blocks, deletion."""
+"""Vector search: exact top-k, thresholds, quantised, batches and pair joins by blocks, deletion.
+
+Cases: vectors that are null, empty or of another length than the query match nothing; neither do scores that are no number
+(an element that is null or NaN). A vector of zeros has similarity 0 with all. Batch and pair searches leave rows with a null id
+out; repeated rows are rows like others. Empty tables give no rows. Ids may be of any type; other columns are ignored.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +21,7 @@ WHOLE_ROWS, BLOCK_ROWS = 20_000, 4096
 
 def find_similar(vectors: DataFrame, query: Column, k: int, threshold: float | None = None, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
     """Top ``k`` by cosine (ties by id): a heap in each partition, merged. Vectors of another length than the query don't count."""
-    v = vectors.where(F.col(vec_col).isNotNull() & (F.size(vec_col) == F.size(query)))
+    v = vectors.where((F.size(vec_col) == F.size(query)) & V.usable(F.col(vec_col)))
     scored = v.select(F.col(id_col).alias("id"), V.cosine(F.col(vec_col), query).alias("score")).where(~F.isnan("score"))
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)
@@ -37,8 +42,8 @@ def distance(vec: Column, query: Column, metric: str) -> Column:
 
 
 def knn(vectors: DataFrame, query: Column, k: int, metric: str = "cosine", id_col: str = "id", vec_col: str = "vec") -> DataFrame:
-    v = vectors.where(F.size(vec_col) == F.size(query))
-    return v.select(F.col(id_col).alias("id"), distance(F.col(vec_col), query, metric).alias("distance")).orderBy("distance", "id").limit(k)
+    v = vectors.where((F.size(vec_col) == F.size(query)) & V.usable(F.col(vec_col)))
+    return v.select(F.col(id_col).alias("id"), distance(F.col(vec_col), query, metric).alias("distance")).where(~F.isnan("distance")).orderBy("distance", "id").limit(k)
 
 
 def _unit(vecs) -> np.ndarray:
@@ -52,6 +57,10 @@ def id_type(df: DataFrame, col: str = "id") -> str:
     return df.schema[col].dataType.simpleString()
 
 
+def _takes_part(d: DataFrame) -> DataFrame:
+    return d.where("id is not null").where(V.usable(F.col("vec"))).select("id", "vec")
+
+
 def _by_length(a: pd.DataFrame, b: pd.DataFrame):
     """Rows of both frames whose vectors have the same length; those of other lengths have no similarity."""
     la, lb = a["vec"].map(len), b["vec"].map(len)
@@ -97,7 +106,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
                 out.append(pd.DataFrame({"a": x["id"].to_numpy()[i], "b": y["id"].to_numpy()[j], "score": s[i, j]}))
         return pd.concat(out[1:]) if len(out) > 1 else out[0]
 
-    left, right = (d.where("vec is not null").select("id", "vec") for d in (left, right))
+    left, right = (_takes_part(d) for d in (left, right))
     schema = f"a {id_type(left)}, b {id_type(right)}, score double"
     small = right.limit(WHOLE_ROWS + 1).count() <= WHOLE_ROWS
     return _whole(left, right, found, schema) if small else _blocks(left, right, found, schema, BLOCK_ROWS)
@@ -117,7 +126,7 @@ def knn_batch(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
                 out.append(pd.DataFrame({"query": qid, "id": ids[top], "score": row[top]}))
         return pd.concat(out) if out else pd.DataFrame({"query": q["id"].iloc[:0], "id": v["id"].iloc[:0], "score": pd.Series(dtype="float64")})
 
-    queries, vectors = (d.where("vec is not null").select("id", "vec") for d in (queries, vectors))
+    queries, vectors = (_takes_part(d) for d in (queries, vectors))
     schema = f"query {id_type(queries)}, id {id_type(vectors)}, score double"
     small = queries.limit(WHOLE_ROWS + 1).count() <= WHOLE_ROWS
     part = _whole(vectors, queries, found, schema) if small else _blocks(vectors, queries, found, schema, BLOCK_ROWS)
@@ -149,7 +158,7 @@ def similar_of_kinds(kinds: dict[str, DataFrame], query: Column, k: int, thresho
     """``find_similar`` over several tables ``(id, vec)`` at once: ``(kind, id, score)``; ties go to the smaller kind, then id."""
     rows = None
     for name, df in kinds.items():
-        part = df.where(F.size("vec") == F.size(query)).select(F.lit(name).alias("kind"), F.col("id"), V.cosine(F.col("vec"), query).alias("score"))
+        part = df.where((F.size("vec") == F.size(query)) & V.usable(F.col("vec"))).select(F.lit(name).alias("kind"), F.col("id"), V.cosine(F.col("vec"), query).alias("score"))
         rows = part if rows is None else rows.unionByName(part)
     rows = rows.where(~F.isnan("score"))
     if threshold is not None:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from secspark import scratch
+from secspark.client import Client
 from secspark.functions import identity as I
 from secspark.functions import scalar as S
 from secspark.functions import vectors as V
@@ -757,7 +758,9 @@ def fn_blake3(spark, sf):
     return schema.text_logs(spark, sf).select("id", chain.blake3_hex(F.col("raw")).alias("hash"))
 
 
-@query()
+@query("""WITH tbl AS (SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) r(n)),
+ b AS (SELECT doc_id AS id, hex(encode(text)) AS h FROM documents)
+SELECT id, CASE WHEN h IS NOT NULL THEN xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) END AS crc FROM b, tbl""")
 def fn_crc32(spark, sf):
     return schema.text_logs(spark, sf).select("id", F.crc32(F.col("raw").cast("binary")).alias("crc"))
 
@@ -821,6 +824,27 @@ def ingest_roundtrip(spark, sf):
     return s.read("logs").select("id", "event_type")
 
 
+def _client(spark, sf):
+    c = Client(spark, _scratch(spark, "client"))
+    c.ingest_events(schema.events(spark, sf))
+    c.ingest_artifacts(schema.text_artifacts(spark, sf))
+    return c
+
+
+@query("SELECT 'logs' AS kind, event_id AS id FROM events UNION ALL SELECT 'artifacts', item_id FROM benchmark")
+def client_write(spark, sf):
+    """Events and artifacts written through the facade, read back from its store."""
+    c = _client(spark, sf)
+    return c.events().select(F.lit("logs").alias("kind"), "id").unionByName(c.artifacts().select(F.lit("artifacts").alias("kind"), "id"))
+
+
+@query("SELECT event_id AS id FROM events, (SELECT min(epoch_us(ts) // 1000) AS t FROM events) WHERE epoch_us(ts) // 1000 BETWEEN t + 86400000 AND t + 5 * 86400000")
+def client_between(spark, sf):
+    c = _client(spark, sf)
+    first = c.events().agg(F.min("ts_ms")).first()[0]
+    return c.between(first + 86_400_000, first + 5 * 86_400_000).select("id")
+
+
 @query("SELECT event_type, '10.0.0.' || user_id AS ip, 'h' || event_id AS host, true AS valid FROM events")
 def ingest_validate(spark, sf):
     text = lambda c: F.col(c).cast("string")

@@ -62,4 +62,4 @@ def chained(stream: DataFrame) -> DataFrame:
         state.update((head,))
         yield pd.DataFrame(out, columns=["chain", "seq", "data_hash", "prev_hash", "hash"])
 
-    return stream.groupBy("chain").applyInPandasWithState(fold, "chain long, seq long, data_hash string, prev_hash string, hash string", "head string", "append", "NoTimeout")
+    return stream.groupBy("chain").applyInPandasWithState(fold, f"chain {stream.schema['chain'].dataType.simpleString()}, seq long, data_hash string, prev_hash string, hash string", "head string", "append", "NoTimeout")
