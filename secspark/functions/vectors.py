@@ -54,8 +54,9 @@ def dot_sq8(a: Column, b: Column) -> Column:
 
 
 def usable(vec: Column) -> Column:
-    """Whether a vector has elements, and all of them are numbers."""
-    return (F.size(vec) > 0) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x))
+    """True where a vector has elements and all of them are numbers; else false or null."""
+    # null where an element is null: stays inside generated code, unlike a lambda
+    return (F.size(vec) > 0) & ~F.array_contains(vec, F.lit(float("nan")).cast("float"))
 
 
 def literal(v) -> Column:
