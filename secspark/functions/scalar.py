@@ -24,11 +24,12 @@ FORMATS = ("OCSF", "Zeek", "Suricata")
 FILE_TYPES = ("PE", "ELF", "Script")
 #: Key prefix of each kind.
 PREFIX = {"log": 1, "code": 2, "index": 3}
+BYTE_UNITS = ("B", "KB", "MB", "GB", "TB", "PB")
 
 
-def format_bytes(n: Column) -> Column:
-    """B to PB by 1024; no decimals from 100 on, one from 10 on, else two; 0 is ``0 B``."""
-    units = ("B", "KB", "MB", "GB", "TB", "PB")
+def format_bytes(n: Column, largest: str = "PB") -> Column:
+    """B to ``largest`` by 1024; no decimals from 100 on, one from 10 on, else two; 0 is ``0 B``."""
+    units = BYTE_UNITS[: BYTE_UNITS.index(largest) + 1]
     exp = F.when(n < 1024, 0)
     for i in range(2, len(units)):
         exp = exp.when(n < 1024**i, i - 1)

@@ -96,3 +96,21 @@ def test_chain(spark, algorithm):
         assert rows(chain.verify(nodes)) == [] == rows(chain.verify(nodes.limit(0)))
         lost = nodes.withColumn("hash", F.when(F.col("chain") != "d", F.col("hash")))
         assert ("d", 0, "hash") in rows(chain.verify(lost))
+
+
+def test_format_bytes_from_a_petabyte(spark, tmp_path):
+    import duckdb
+
+    from secspark.functions import scalar
+    from secspark.plans import catalog
+
+    n = spark.createDataFrame([(1 << 50,), ((1 << 50) - 1,)], "n long").select(scalar.format_bytes(F.col("n")), scalar.format_bytes(F.col("n"), "TB"))
+    assert [tuple(r) for r in n.collect()] == [("1.00 PB", "1024 TB"), ("1024 TB", "1024 TB")]
+    # cubes of these ids lie about 1024 TB and up to the largest long
+    ids = [0, 1, 8, 104031, 104032, 104033, 599999, 2097151]
+    e = spark.createDataFrame([(i,) for i in ids], "event_id long")
+    e.selectExpr("event_id", "timestamp_ntz'2024-01-01 00:00:00' ts", "0L user_id", "'' event_type", "0D value", "'' props").write.parquet(f"{tmp_path}/events.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = {tuple(r) for r in catalog.QUERIES["fn_format_bytes"](spark, str(tmp_path)).collect()}
+    assert got == set(duck.sql(catalog.ORACLE_SQL["fn_format_bytes"]).fetchall()) and len(got) == len(ids)
