@@ -6,17 +6,19 @@ to ``depth`` words before a symbol, the end before the text included; the neares
 Model. A context is seen n times in training; its t entries are the symbols that follow it twice or more, with counts c and
 sum K, at every size of the corpus. It is retained if its distribution over its entries and one "other" diverges from that
 of its suffix (the context without its oldest word; the word counts, for one word): the gain in log-likelihood has to exceed
-t / 2 * ln(n). (Words beyond the ``head`` most frequent are "other" in the test of one-word contexts.) Along the retained
+t / 2 * ln(n). Every entry counts in the test, however rare its symbol. (If ``head`` is given, words beyond the ``head`` most
+frequent are "other" in the test of one-word contexts.) Along the retained
 suffixes of a position, from the shortest to the longest, a symbol's probability p becomes (c + (t + n - K) * p) / (n + t),
 with c = 0 if it is no entry; it starts at the base model's. Each of these distributions sums to one.
 
-Plan. One pass counts words (as 64-bit hashes); the most frequent (at most ``head``) get numbers that are broadcast.
+Plan. One pass counts words (as 64-bit hashes); the most frequent (at most ``numbered``) get numbers that are broadcast.
 One pass writes, for each position of all texts, the ``depth`` words before it, its symbol and its text as a packed window,
 dealt by the nearest word, so that a shard holds all windows of its part of the tree: it counts, tests, and scores its
 windows at once. Nothing of the tree is written, collected or broadcast. A nearest word with more than ``split`` windows (or one
 in ``SHARE`` of all) is dealt by its next word too, and so on; what follows such a context is counted beforehand, and its entries go to all of its
-shards. Shards have about ``SHARD`` windows at every size. Sums by text go back packed by the texts' chunks. Symbols beyond
-the head meet their counts in a join.
+shards. Shards have about ``SHARD`` windows at every size. Sums by text go back packed by the texts' chunks. Symbols without
+a number meet their counts in a join; their part in the test of a one-word context is summed up in another and goes to the
+context's shard.
 
 Cases: null text is empty; empty texts are the end alone; a null doc_id neither trains nor is held out; repeated rows are
 trained on and scored like others; without training rows score and base score are equal; extra columns are ignored; an
@@ -38,7 +40,7 @@ from secspark.llm.common import materialize, read_table
 from secspark.llm.textbytes import mix, text_chunks, word_hashes
 
 DEPTH = 5
-#: Words that have numbers, at most; windows of a context from which on it is dealt by its next word, also as a share of all
+#: Words that have numbers, at most (no score depends on it); windows of a context from which on it is dealt by its next word, also as a share of all
 #: windows, so that small corpora are dealt evenly too; windows of a shard.
 HEAD, SPLIT, SHARE, SHARD = 1 << 20, 500_000, 256, 300_000
 #: Lowest count of an entry.
@@ -137,9 +139,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _count_below(hot: Table, level: int):
+def _count_below(hot: Table, level: int, head=None):
     """What follows the contexts of ``level`` words in ``hot``: rows ``(ctx, sym, n)``; and their contexts of one more word:
-    rows ``(ctx, null, n)`` with the shorter context as ``up``."""
+    rows ``(ctx, null, n)`` with the shorter context as ``up``. With ``head``, also the symbols without a number that follow
+    other contexts: rows ``(ctx, sym, n)`` with 0 as ``up``."""
 
     def out(kind: int, held):
         a, b = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -147,10 +150,12 @@ def _count_below(hot: Table, level: int):
         n = np.bincount(of, minlength=len(one))
         a, b = pa.array(a[at].view(np.int64)), pa.array(b[at].view(np.int64))
         none = pa.nulls(len(at), pa.int64())
-        return pa.RecordBatch.from_arrays([a, b, none, pa.array(n)] if kind else [b, none, a, pa.array(n)], ["ctx", "sym", "up", "n"])
+        columns = ([b, none, a], [a, b, none], [a, b, pa.array(np.zeros(len(at), np.int64))])[kind]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(n)], ["ctx", "sym", "up", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        follow, deeper, size = [], [], 0
+        numbered = _numbered(head)[0] if head else None
+        follow, deeper, beyond, size = [], [], [], 0
         for b in batches:
             for _, _, data, off in text_chunks(b.column(0)):
                 words, _, first = word_hashes(data, off)
@@ -160,18 +165,20 @@ def _count_below(hot: Table, level: int):
                 for k in range(1, level + 1):
                     ctx = _below(ctx, seq[at - k])
                 i = hot.find(ctx) >= 0
+                if numbered is not None:
+                    j = np.flatnonzero(~i)
+                    j = j[numbered.find(seq[at[j]]) < 0]
+                    beyond.append((ctx[j], seq[at[j]]))
+                    size += len(j)
                 at, ctx = at[i], ctx[i]
                 follow.append((ctx, seq[at]))
                 more = place[at] > level
                 deeper.append((ctx[more], _below(ctx[more], seq[at[more] - level - 1])))
                 size += len(at)
                 if size > HELD:
-                    yield out(1, follow)
-                    yield out(0, deeper)
-                    follow, deeper, size = [], [], 0
-        if follow:
-            yield out(1, follow)
-            yield out(0, deeper)
+                    yield from (out(k, x) for k, x in enumerate((deeper, follow, beyond)) if x)
+                    follow, deeper, beyond, size = [], [], [], 0
+        yield from (out(k, x) for k, x in enumerate((deeper, follow, beyond)) if x)
 
     return run
 
@@ -209,8 +216,9 @@ def _unpack(data: bytes, depth: int) -> tuple[list[np.ndarray], np.ndarray, np.n
     return columns, text, np.concatenate((codes.view(np.uint64).ravel(), np.frombuffer(frame[5], np.uint64)))
 
 
-#: Kinds of rows: entries of split contexts, windows, texts, sums of a chunk's texts, symbols beyond the head.
-_ENTRY, _WINDOWS, _TEXT, _SUM, _OPEN = range(5)
+#: Kinds of rows: entries of split contexts, windows, texts, sums of a chunk's texts, symbols without a number, what these add
+#: to the tests of one-word contexts.
+_ENTRY, _WINDOWS, _TEXT, _SUM, _OPEN, _BEYOND = range(6)
 _ROW = pa.schema(
     [("kind", pa.int32()), ("shard", pa.int32()), ("chunk", pa.int64()), ("trained", pa.int32()), ("code", pa.int64()), ("n", pa.int64()), ("data", pa.binary()), ("place", pa.int32()), ("a", pa.float64()), ("b", pa.float64())]
     + [("ids", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64())), ("head_sum", pa.list_(pa.float64())), ("head_known", pa.list_(pa.int64()))]
@@ -318,9 +326,10 @@ def _gain(n, up_n, s, k, up_k):
         return s + k * np.log(up_n / np.maximum(n, 1)) + rest
 
 
-def _chain(columns: list[np.ndarray], symbol: np.ndarray, root: np.ndarray, total: int, train: np.ndarray, split: Table, entries: Table):
+def _chain(columns: list[np.ndarray], symbol: np.ndarray, root: np.ndarray, total: int, train: np.ndarray, split: Table, entries: Table, beyond: Table):
     """For each window a and b such that its symbol's probability is a + b * base. ``columns``: codes of the words before
-    it, the nearest first, 0 for none; ``root``: its symbol's count, 0 beyond the head."""
+    it, the nearest first, 0 for none; ``root``: its symbol's count, 0 without a number; ``beyond``: by one-word context, what
+    entries without a number add to the sums of its test."""
     a, b = np.zeros(len(symbol)), np.ones(len(symbol))
     at, ctx = np.arange(len(symbol)), np.zeros(len(symbol), np.uint64)
     up_n, up_c = np.full(len(symbol), float(total)), root.astype(float)
@@ -346,7 +355,12 @@ def _chain(columns: list[np.ndarray], symbol: np.ndarray, root: np.ndarray, tota
         per = lambda of, x: np.bincount(of, x, len(codes))
         t, k = per(above[entry], np.ones(entry.sum())), per(above[entry], c[entry])
         up = up_c[g_at][test]
-        gain = _gain(n, up_n[c_at], per(above[test], c[test] * np.log(c[test] / up)), per(above[test], c[test]), per(above[test], up))
+        sums = [per(above[test], c[test] * np.log(c[test] / up)), per(above[test], c[test]), per(above[test], up)]
+        if len(beyond):
+            i = beyond.find(codes)
+            sums = [x + np.where(i >= 0, more[i], 0) for x, more in zip(sums, beyond.values, strict=True)]
+            beyond = ()  # longer contexts are tested against counts of this shard
+        gain = _gain(n, up_n[c_at], *sums)
         keep = (t > 0) & (gain > 0.5 * t * np.log(np.maximum(n, 1)))
         if far.any():
             h = here >= 0
@@ -364,7 +378,7 @@ def _chain(columns: list[np.ndarray], symbol: np.ndarray, root: np.ndarray, tota
 def _scorer(head, hot, depth: int, total: int, den: float):
     """Scores the windows of each shard (rows come sorted by shard and kind); passes texts on."""
 
-    def shard_rows(blobs, grams, sums) -> Iterator[pa.RecordBatch]:
+    def shard_rows(blobs, grams, beyond, sums) -> Iterator[pa.RecordBatch]:
         split = hot.value
         by_rank, counts = head.value
         parts = [_unpack(x[0], depth) for x in blobs]
@@ -390,7 +404,7 @@ def _scorer(head, hot, depth: int, total: int, den: float):
         known = rank < _NONE
         root = np.zeros(len(symbol))
         root[known] = counts[rank[known]]
-        a, b = _chain(code, symbol, root, total, train, split, grams)
+        a, b = _chain(code, symbol, root, total, train, split, grams, beyond)
         gain = np.zeros(len(symbol))
         gain[known] = np.log10(a[known] * 10**den / (root[known] + 0.1) + b[known])
         cut = np.concatenate(([0], np.cumsum(size)))
@@ -412,10 +426,11 @@ def _scorer(head, hot, depth: int, total: int, den: float):
         sums.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, blobs, codes, counts, sums = None, [], [], [], {}
+        now, blobs, codes, counts, added, sums = None, [], [], [], [], {}
 
-        def entries():
-            return Table(*(np.concatenate(x) for x in (codes, counts))) if codes else Table(np.zeros(0, np.uint64), np.zeros(0))
+        def tables():
+            none = np.zeros(0, np.uint64)
+            return Table(*(np.concatenate(x) for x in (codes, counts))) if codes else Table(none, none), Table(*map(np.concatenate, zip(*added, strict=True))) if added else Table(none)
 
         for batch in batches:
             shard, kind = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
@@ -426,18 +441,21 @@ def _scorer(head, hot, depth: int, total: int, den: float):
             for x, y in zip(edge, [*edge[1:], len(shard)], strict=False):
                 if shard[x] != now:
                     if blobs:
-                        yield from shard_rows(blobs, entries(), sums)
+                        yield from shard_rows(blobs, *tables(), sums)
                         if sum(map(len, sums.values())) > SUMS:
                             yield from out(sums)
-                    now, blobs, codes, counts = shard[x], [], [], []
+                    now, blobs, codes, counts, added = shard[x], [], [], [], []
                 for r in (np.flatnonzero(kind[x:y] == _ENTRY) + x).tolist():
                     code, n = _unpack_entries(batch.column("data")[r].as_py(), batch.column("n")[r].as_py())
                     codes.append(code)
                     counts.append(n)
                 for r in (np.flatnonzero(kind[x:y] == _WINDOWS) + x).tolist():
                     blobs.append((batch.column("data")[r].as_py(), batch.column("chunk")[r].as_py(), batch.column("trained")[r].as_py(), batch.column("n")[r].as_py()))
+                for r in (np.flatnonzero(kind[x:y] == _BEYOND) + x).tolist():
+                    part = np.frombuffer(batch.column("data")[r].as_py(), np.uint64).reshape(4, -1)
+                    added.append((part[0], *part[1:].view(np.float64)))
         if blobs:
-            yield from shard_rows(blobs, entries(), sums)
+            yield from shard_rows(blobs, *tables(), sums)
         yield from out(sums)
 
     return run
@@ -492,6 +510,22 @@ def _unpack_entries(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return raw[: 8 * n].copy().view(np.uint64), np.ascontiguousarray(raw[8 * n :].reshape(8, n).T).view("<u8").ravel().astype(float)
 
 
+def _pack_beyond(shards: int):
+    """Sums ``(ctx, s, k, up_k)`` as packed columns, a row for each shard of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ctx = b.column("ctx").to_numpy().view(np.uint64)
+            table = np.stack([ctx, *(b.column(k).to_numpy().view(np.uint64) for k in ("s", "k", "up_k"))])
+            shard = (ctx % np.uint64(shards)).astype(np.int32)
+            by = np.argsort(shard, kind="stable")
+            own, first = np.unique(shard[by], return_index=True)
+            data = [np.ascontiguousarray(table[:, x]).tobytes() for x in np.split(by, first[1:])] if len(own) else []
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(data, pa.binary())], ["shard", "data"])
+
+    return run
+
+
 def _size(n: str) -> Column:
     return F.floor(F.log2(n) * 16)
 
@@ -509,39 +543,42 @@ def _head(counts: DataFrame, head: int) -> tuple[int, int, np.ndarray, np.ndarra
     return sum(x[2] for x in levels), sum(x[1] for x in levels), top["code"].to_numpy().view(np.uint64), top["n"].to_numpy()
 
 
-def _split_contexts(train: DataFrame, codes: np.ndarray, n: np.ndarray, ends: int, total: int, depth: int, split: int):
+def _split_contexts(train: DataFrame, codes: np.ndarray, n: np.ndarray, ends: int, depth: int, split: int, head=None):
     """Contexts with more than ``split`` windows, level by level: ``{code: (n, shorter context)}`` and the tables ``(ctx,
-    sym, n, up_n)`` of what follows them. There are at most total / split in a level."""
+    sym, n)`` of what follows them. There are at most total / split in a level. With ``head``, also the table ``(ctx, sym, n)``
+    of symbols without a number that follow other one-word contexts twice or more, else None."""
     words = np.append(codes, END)
     often = np.append(n, ends)
     own = _below(np.zeros(len(words), np.uint64), words)
     now = {int(c): (int(x), 0) for c, x in zip(own[often > split], often[often > split], strict=True)}
-    found, tables, level = {}, [], 1
-    while now and level <= depth:
+    found, tables, level, beyond = {}, [], 1, None
+    while (now or (head and level == 1)) and level <= depth:
         found |= now
         hot = Table(np.array(sorted(now), np.uint64), np.zeros(len(now)))
-        rows = train.mapInArrow(_count_below(hot, level), "ctx long, sym long, up long, n long").groupBy("ctx", "sym", "up").agg(F.sum("n").alias("n"))
+        rows = train.mapInArrow(_count_below(hot, level, head if level == 1 else None), "ctx long, sym long, up long, n long").groupBy("ctx", "sym", "up").agg(F.sum("n").alias("n"))
         rows = materialize(rows.where(F.when(F.col("sym").isNull(), F.col("n") > split).otherwise(F.col("n") >= TWICE)), "below")
         more = rows.where("sym is null").collect()
-        tables.append(rows.where("sym is not null").select("ctx", "sym", "n"))
+        tables.append(rows.where("sym is not null and up is null").select("ctx", "sym", "n"))
+        if head and level == 1:
+            beyond = rows.where("sym is not null and up is not null").select("ctx", "sym", "n")
         now = {r["ctx"] % (1 << 64): (r["n"], r["up"] % (1 << 64)) for r in more}
         level += 1
-    return found, tables
+    return found, tables, beyond
 
 
 def _signed(code: int) -> int:
     return code - (1 << 64) if code >= 1 << 63 else code
 
 
-def _tests(spark: SparkSession, found: dict, tables: list[DataFrame], counts: DataFrame, head_floor: int, ends: int, total: int) -> dict:
-    """Windows, entries, sum and test of split contexts; one row for each reaches the driver."""
+def _tests(spark: SparkSession, found: dict, tables: list[DataFrame], counts: DataFrame, least: int, ends: int, total: int) -> dict:
+    """Windows, entries, sum and test of split contexts; one row for each reaches the driver. Words seen less than ``least``
+    times aren't tested."""
     up = spark.createDataFrame([(_signed(c), _signed(p)) for c, (_, p) in found.items()], "ctx long, up long")
     out = {}
     for level, table in enumerate(tables):
         own = table
         if level == 0:
-            # symbols beyond the head aren't tested
-            root = counts.where(F.col("n") >= head_floor).unionByName(spark.createDataFrame([(_signed(int(END)), ends)], "code long, n long")).where("n > 0")
+            root = counts.where(F.col("n") >= least).unionByName(spark.createDataFrame([(_signed(int(END)), ends)], "code long, n long")).where("n > 0")
             known = own.join(root.select(F.col("code").alias("sym"), F.col("n").alias("up_c")), "sym", "left")
         else:
             above = tables[level - 1].select(F.col("ctx").alias("up"), "sym", F.col("n").alias("up_c"))
@@ -559,10 +596,11 @@ def _tests(spark: SparkSession, found: dict, tables: list[DataFrame], counts: Da
     return out
 
 
-def score_texts(docs: DataFrame, trained: Column, depth: int = DEPTH, head: int = HEAD, split: int = SPLIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, trained: Column, depth: int = DEPTH, head: int | None = None, split: int = SPLIT, id_col: str = "doc_id", text_col: str = "text", numbered: int = HEAD) -> DataFrame:
     """Rows ``(doc_id, n_tokens, n_known, train_tokens, base_score, score)``, one for each row of ``docs``.
 
-    ``trained``: a condition on ``doc_id`` that says which rows are learnt from.
+    ``trained``: a condition on ``doc_id`` that says which rows are learnt from. ``head``: words in the test of one-word
+    contexts, all if None. ``numbered``: words that have numbers; no score depends on it.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -570,19 +608,21 @@ def score_texts(docs: DataFrame, trained: Column, depth: int = DEPTH, head: int
     train = d.where("trained").select("text")
     counts = materialize(train.mapInArrow(_count_words, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "words")
     ends = train.count()
-    words, kinds, codes, n = _head(counts, head)
+    words, kinds, codes, n = _head(counts, numbered if head is None else head)
+    rare = head is None and kinds > len(codes)
     total = words + ends
     den = math.log10(total + 0.1 * (kinds + (ends > 0) + 1))
     # numbers by frequency; the end has number 0
     order = np.lexsort((codes, -n))
-    numbered = np.concatenate(([END], codes[order]))
+    by_number = np.concatenate(([END], codes[order]))
     often = np.concatenate(([ends], n[order]))
-    head_b = sc.broadcast((numbered, often.astype(np.uint32 if often.max() < 1 << 32 else np.int64)))
+    head_b = sc.broadcast((by_number, often.astype(np.uint32 if often.max() < 1 << 32 else np.int64)))
     shards = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / SHARD))
 
     split = max(1, min(split, total // SHARE))
-    found, tables = _split_contexts(train, codes, n, ends, total, depth, split)
-    tests = _tests(spark, found, tables, counts, int(n.min()) if len(n) else 1, ends, total) if found else {}
+    found, tables, beyond = _split_contexts(train, codes, n, ends, depth, split, head_b if rare else None)
+    # an entry's symbol is seen twice or more
+    tests = _tests(spark, found, tables, counts, TWICE if head is None else int(n.min()) if len(n) else 1, ends, total) if found else {}
     own = np.array(sorted(found), np.uint64)
     salts = np.array([math.ceil(found[int(c)][0] / split) for c in own], np.int64)
     first = shards + np.cumsum(salts) - salts  # split contexts have shards of their own
@@ -600,6 +640,13 @@ def score_texts(docs: DataFrame, trained: Column, depth: int = DEPTH, head: int
         for table in tables:
             entries = table.mapInArrow(_pack_entries, "ctx long, n long, data binary").join(F.broadcast(side), "ctx")
             dealt = dealt.unionByName(entries.select(F.lit(_ENTRY).alias("kind"), "shard", "n", "data"), allowMissingColumns=True)
+    if beyond is not None:
+        # whole size classes have numbers, so the others are seen less often than any of these
+        known = beyond.join(counts.where((F.col("n") >= TWICE) & (F.col("n") < (int(n.min()) if len(n) else 1 << 62))).select(F.col("code").alias("sym"), F.col("n").cast("double").alias("up")), "sym")
+        c = F.col("n").cast("double")
+        sums = known.groupBy("ctx").agg(F.sum(c * F.log(c / F.col("up"))).alias("s"), F.sum(c).alias("k"), F.sum("up").alias("up_k"))
+        sums = sums.mapInArrow(_pack_beyond(shards), "shard int, data binary")
+        dealt = dealt.unionByName(sums.withColumn("kind", F.lit(_BEYOND)), allowMissingColumns=True)
     dealt = dealt.repartition("shard").sortWithinPartitions("shard", "kind")
     scored = materialize(dealt.mapInArrow(_scorer(head_b, hot, depth, total, den), _DDL), "scored")
     many = F.coalesce(counts["n"], F.lit(0))

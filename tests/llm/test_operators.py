@@ -254,6 +254,20 @@ def test_suffix_tree_scores(spark, docs, depth, head, split):
     assert np.allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-5, atol=1e-3)
 
 
+@pytest.mark.parametrize("depth,numbered,split", [(5, 12, 10**6), (4, 12, 20), (2, 0, 100), (1, 12, 10)])
+def test_suffix_tree_scores_depend_on_no_numbers(spark, docs, depth, numbered, split):
+    """Words without a number count in the test of one-word contexts too."""
+    held = [(i, t.encode().lower().split()) for i, t in collected(docs)]
+    learnt = [w for i, w in held if i is not None and zlib.crc32(str(i).encode()) % 10]
+    score, some = (brute_tree(learnt, depth, head)[0] for head in (10**6, numbered))
+    got = suffix_tree.score_texts(docs, suffix_tree.fold(F.col("doc_id")) != 0, depth=depth, split=split, numbered=numbered).collect()
+    want = sorted((i if i is not None else -1, score(w)) for i, w in held)
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["score"]) for r in got)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert np.allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-5, atol=1e-3)
+    assert max(abs(score(w) - some(w)) for _, w in held) > 1
+
+
 @pytest.mark.parametrize("split", [1_500_000, 50_000])  # the second deals the common context to several shards
 def test_suffix_tree_keeps_rare_ngrams_of_large_corpora(spark, split):
     rows = [(i, "a " * 200_000) for i in range(20)] + [(20, "x y"), (21, "x y"), (22, "y x q"), (23, "x z"), (24, "x y")]
