@@ -36,8 +36,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 def normalized(a: Column) -> Column:
     """``a`` at length 1; a zero vector is unchanged."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    # the norm is bound once: within the inner lambda it would be computed for every element
+    unit = lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    return F.transform(F.array(norm(a)), unit)[0]
 
 
 def quantize_sq8(a: Column) -> Column:

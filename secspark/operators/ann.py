@@ -125,6 +125,22 @@ def ann_search(model: CellModel, indexed: DataFrame, query, k: int, nprobe: int
     return search.find_similar(near, V.literal(query), k)
 
 
+def ann_search_batch(model: CellModel, indexed: DataFrame, queries: DataFrame, k: int, nprobe: int | None = None) -> DataFrame:
+    """``(query, id, score, rank)``: cosine top ``k`` of each of ``queries (id, vec)`` among the rows of its nearest cells, by
+    matrix products of a cell's rows and the queries that search it."""
+    size = model.centers.shape[1]
+
+    def found(v, q):
+        probes = np.array([model.cells(x, nprobe) for x in q["vec"]], int).reshape(len(q), -1)
+        asks = np.zeros((len(model.centers), len(q)), bool)
+        asks[probes, np.arange(len(q))[:, None]] = True
+        parts = [search._nearest(rows, q[asks[cell]], k) for cell, rows in v.groupby("cell") if asks[cell].any()]
+        return search._nearest_of(v, q, parts, k)
+
+    takes_part = lambda d: d.where("id is not null").where((F.size("vec") == size) & V.usable(F.col("vec")))
+    return search.merged_nearest(takes_part(queries).select("id", "vec"), takes_part(indexed).select("id", "vec", "cell"), found, k)
+
+
 def add(model: CellModel, indexed: DataFrame, new: DataFrame) -> DataFrame:
     return indexed.unionByName(model.assign(new))
 

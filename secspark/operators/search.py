@@ -17,6 +17,8 @@ from secspark.functions import vectors as V
 METRICS = ("cosine", "l2", "dot", "sq8")
 #: Rows of the smaller side up to which a batch operator ships it whole; beyond it both sides are cut into blocks.
 WHOLE_ROWS, BLOCK_ROWS = 20_000, 4096
+#: Scores that a task holds at once.
+SCORES = 1 << 22
 
 
 def find_similar(vectors: DataFrame, query: Column, k: int, threshold: float | None = None, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
@@ -116,20 +118,56 @@ def knn_batch(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """``(query, id, score, rank)``: cosine top ``k`` of each query; each block keeps its own k first."""
 
     def found(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for x, y in _by_length(v, q):
-            s = _unit(y["vec"]) @ _unit(x["vec"]).T
-            ids = x["id"].to_numpy()
-            order = np.unique(ids, return_inverse=True)[1]
-            for row, qid in zip(s, y["id"], strict=True):
-                top = np.lexsort((order, -row))[:k]
-                out.append(pd.DataFrame({"query": qid, "id": ids[top], "score": row[top]}))
-        return pd.concat(out) if out else pd.DataFrame({"query": q["id"].iloc[:0], "id": v["id"].iloc[:0], "score": pd.Series(dtype="float64")})
+        return _nearest_of(v, q, [_nearest(x, y, k) for x, y in _by_length(v, q)])
 
     queries, vectors = (_takes_part(d) for d in (queries, vectors))
+    return merged_nearest(queries, vectors, found, k)
+
+
+def _nearest(x: pd.DataFrame, y: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index labels of ``y`` and ``x`` and the cosine: the top ``k`` rows of ``x`` for each of ``y`` (scores to nine digits,
+    ties by id)."""
+    a, b = _unit(x["vec"]), _unit(y["vec"])
+    order = np.unique(x["id"].to_numpy(), return_inverse=True)[1]
+    step, out = max(1, SCORES // max(1, len(a))), []
+    for first in range(0, len(b) if k > 0 else 0, step):
+        s = b[first : first + step] @ a.T
+        r = np.round(s, 9)
+        if k < len(a):
+            # all that tie with the k-th stay until ids decide
+            i, j = np.nonzero(r >= np.partition(r, len(a) - k, axis=1)[:, [len(a) - k]])
+        else:
+            i, j = (v.ravel() for v in np.indices(r.shape))
+        top = _top(i, r[i, j], order[j], k)
+        i, j = i[top], j[top]
+        out.append((i + first, j, s[i, j]))
+    i, j, s = (np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    return y.index.to_numpy()[i], x.index.to_numpy()[j], s
+
+
+def _top(query: np.ndarray, score: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` highest scores of each query; ties go to the smaller ``order``."""
+    by = np.lexsort((order, -score, query))
+    q = query[by]
+    new = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.zeros(0, int)
+    return by[np.arange(len(q)) - np.repeat(new, np.diff(np.append(new, len(q)))) < k]
+
+
+def _nearest_of(v: pd.DataFrame, q: pd.DataFrame, parts: list, k: int | None = None) -> pd.DataFrame:
+    """Rows ``(query, id, score)`` from what ``_nearest`` found; with ``k``, the top ``k`` of each query."""
+    i, j, s = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    if k is not None:
+        top = _top(i, np.round(s, 9), np.unique(v["id"].to_numpy(), return_inverse=True)[1][j], k)
+        i, j, s = i[top], j[top], s[top]
+    return pd.DataFrame({"query": q["id"].to_numpy()[i], "id": v["id"].to_numpy()[j], "score": s})
+
+
+def merged_nearest(queries: DataFrame, vectors: DataFrame, found, k: int) -> DataFrame:
+    """``(query, id, score, rank)`` from ``found``, which has the top ``k`` of a frame of vectors for a frame of queries."""
     schema = f"query {id_type(queries)}, id {id_type(vectors)}, score double"
+    own = lambda a, b: found(a.reset_index(drop=True), b.reset_index(drop=True))
     small = queries.limit(WHOLE_ROWS + 1).count() <= WHOLE_ROWS
-    part = _whole(vectors, queries, found, schema) if small else _blocks(vectors, queries, found, schema, BLOCK_ROWS)
+    part = _whole(vectors, queries, own, schema) if small else _blocks(vectors, queries, own, schema, BLOCK_ROWS)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id"))
     return part.withColumn("rank", rank).where(F.col("rank") <= k)
 
