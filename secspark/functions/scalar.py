@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,7 +40,11 @@ def format_bytes(n: Column, largest: str = "PB") -> Column:
     unit = F.element_at(F.array(*[F.lit(u) for u in units]), exp + 1)
     # ties go to the even digit
     show = lambda d: F.format_string(f"%.{d}f", F.bround(size, d))
-    text = F.when(n == 0, F.lit("0")).when(size >= 100, show(0)).when(size >= 10, show(1)).otherwise(show(2))
+    # beyond 53 bits format_string fills up with zeros; such a double is whole, and its parts of 53 bits give all digits
+    part = lambda e: (size % 2.0 ** (e + 53) / 2.0**e).cast("long").cast("decimal(20,0)") * F.lit(Decimal(2**e))
+    whole = (part(106) + part(53) + part(0)).cast("string")
+    text = F.when(n == 0, F.lit("0")).when(size >= 2.0**53, whole).when(size <= -(2.0**53), F.concat(whole, F.lit(".00")))
+    text = text.when(size >= 100, show(0)).when(size >= 10, show(1)).otherwise(show(2))
     return F.concat(text, F.lit(" "), unit)
 
 

@@ -114,3 +114,19 @@ def test_format_bytes_from_a_petabyte(spark, tmp_path):
     duck.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
     got = {tuple(r) for r in catalog.QUERIES["fn_format_bytes"](spark, str(tmp_path)).collect()}
     assert got == set(duck.sql(catalog.ORACLE_SQL["fn_format_bytes"]).fetchall()) and len(got) == len(ids)
+
+
+@pytest.mark.parametrize("ids, kind", [([-2097152, 0, 2097151], "bigint"), ([-2097153, 0, 8, 2097151, 2097152, 5999999, 3 * 10**9], "decimal(38,0)")])
+def test_format_bytes_of_cubes_beyond_a_long(spark, tmp_path, ids, kind):
+    import duckdb
+
+    from secspark.plans import catalog
+
+    e = spark.createDataFrame([(i,) for i in ids], "event_id long")
+    e.selectExpr("event_id", "timestamp_ntz'2024-01-01 00:00:00' ts", "0L user_id", "'' event_type", "0D value", "'' props").write.parquet(f"{tmp_path}/events.parquet")
+    duck = duckdb.connect()
+    # the SQL overflows on these ids as longs
+    duck.sql(f"create view events as select event_id::hugeint event_id from '{tmp_path}/events.parquet/*.parquet'")
+    got = catalog.QUERIES["fn_format_bytes"](spark, str(tmp_path))
+    assert got.schema["n"].dataType.simpleString() == kind
+    assert {(int(n), text) for n, text in got.collect()} == set(duck.sql(catalog.ORACLE_SQL["fn_format_bytes"]).fetchall())
